@@ -17,4 +17,5 @@ def parse_price(text: Column) -> Column:
 
 def format_percent(share: Column) -> Column:
     """``0.617`` as ``61.7%``, missing as ``N/A``."""
-    return F.coalesce(F.format_string("%.1f%%", share * 100.0), F.lit("N/A"))
+    text = F.format_string("%.1f%%", share * 100.0)
+    return F.when(share.isNotNull(), text).otherwise("N/A")

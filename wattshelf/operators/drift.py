@@ -109,10 +109,10 @@ def drift_report(
 
 def windowed_counts(df: DataFrame, ts: str, bins: Mapping[str, Sequence[float]], window: str) -> DataFrame:
     """Rows per (window start, column, bin); works on batch and streaming frames."""
-    slot = F.window(quoted(ts), window)
-    return binned(df, bins, [slot.getField("start").alias("window_start")]).groupBy(
-        "window_start", "column", "bin"
-    ).agg(F.count(F.lit(1)).alias("actual"))
+    # The window struct itself is grouped: a stream keeps its watermark only on that column.
+    cells = binned(df, bins, [F.window(quoted(ts), window).alias("_w")])
+    counts = cells.groupBy("_w", "column", "bin").agg(F.count(F.lit(1)).alias("actual"))
+    return counts.select(F.col("_w.start").alias("window_start"), "column", "bin", "actual")
 
 
 def windowed_psi(counts: DataFrame, expected: DataFrame) -> DataFrame:

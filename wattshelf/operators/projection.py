@@ -6,10 +6,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from wattshelf.functions.columns import hash_position, is_blank, quoted, resolve_roles, strip
+from pyspark.sql import types as T
+
+from wattshelf.functions.columns import (
+    hash_position,
+    is_blank,
+    null_if_nan,
+    quoted,
+    resolve_roles,
+    resolve_text_columns,
+    strip,
+)
 from wattshelf.functions.text import clean_text, composite_label, split_label
-from wattshelf.functions.columns import resolve_text_columns
 from wattshelf.operators.ranks import values_at_ranks
 
 
@@ -109,7 +117,15 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=list(columns) if columns else None)
+    """Rows without a null or NaN in any (chosen) column."""
+    whole = F.lit(True)
+    for field in df.schema.fields:
+        if columns is None or field.name in columns:
+            value = quoted(field.name)
+            if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+                value = null_if_nan(value)
+            whole = whole & value.isNotNull()
+    return df.filter(whole)
 
 
 def blank_rows(df: DataFrame, column: str | None) -> DataFrame:

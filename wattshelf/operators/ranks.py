@@ -122,13 +122,15 @@ def values_at_ranks(
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], shares: Sequence[float]
 ) -> tuple[dict[str, list[float]], dict[str, Profile]]:
-    """Linearly interpolated quantiles of each column, with the column profiles."""
+    """Linearly interpolated quantiles of each column (none for an empty one), with the profiles."""
     profiles = profile_columns(df, columns)
-    positions = {name: [(profiles[name].count - 1) * share for share in shares] for name in columns}
-    ranks = {
-        name: sorted({rank for p in positions[name] if p >= 0 for rank in (math.floor(p), math.ceil(p))})
+    positions = {
+        name: [(profiles[name].count - 1) * share for share in shares] if profiles[name].count else []
         for name in columns
     }
+    ranks = {
+        name: sorted({rank for p in positions[name] for rank in (math.floor(p), math.ceil(p))}) for name in columns
+    }
     values = values_at_ranks(df, ranks, profiles)
     result = {}
     for name in columns:
@@ -136,7 +138,6 @@ def exact_quantiles(
         result[name] = [
             at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p))
             for p in positions[name]
-            if p >= 0
         ]
     return result, profiles
 

@@ -88,7 +88,7 @@ def numeric_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def slots(df: DataFrame, ts: Column, series: Sequence[str] = ()) -> DataFrame:
     """Rows per (series, timestamp); counted before the shuffle, so a repeated slot is cheap."""
     keys = [quoted(name).alias(name) for name in series]
-    return df.select(*keys, micros(ts).alias("at")).groupBy(*series, "at").agg(F.count(F.lit(1)).alias("rows"))
+    return df.select(*keys, micros(ts).alias("at_us")).groupBy(*series, "at_us").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def duplicate_timestamps(df: DataFrame, ts: Column, series: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +97,7 @@ def duplicate_timestamps(df: DataFrame, ts: Column, series: Sequence[str] = ())
         slots(df, ts, series)
         .groupBy(*series)
         .agg(
-            F.coalesce(F.sum(F.when(F.col("at").isNull(), F.col("rows"))), F.lit(0)).alias("invalid_dates"),
+            F.coalesce(F.sum(F.when(F.col("at_us").isNull(), F.col("rows"))), F.lit(0)).alias("invalid_dates"),
             F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicate_timestamps"),
         )
     )
@@ -112,15 +112,15 @@ def frequency_check(
     exactly when every consecutive difference equals the step - with no ordering needed.
     """
     step = step_seconds * MICROS
-    known = slots(df, ts, series).filter(F.col("at").isNotNull())
-    phase = F.pmod(F.col("at"), F.lit(step))
+    known = slots(df, ts, series).filter(F.col("at_us").isNotNull())
+    phase = F.pmod(F.col("at_us"), F.lit(step))
     return (
         known.groupBy(*series)
         .agg(
             F.sum("rows").alias("row_count"),
             F.count(F.lit(1)).alias("slot_count"),
-            F.min("at").alias("first_at"),
-            F.max("at").alias("last_at"),
+            F.min("at_us").alias("first_at"),
+            F.max("at_us").alias("last_at"),
             F.min(phase).alias("phase_low"),
             F.max(phase).alias("phase_high"),
         )
@@ -143,17 +143,17 @@ def gaps(
 ) -> DataFrame:
     """Consecutive timestamps of a series that are not one step apart."""
     keys = [quoted(name).alias(name) for name in series]
-    placed = df.select(*keys, micros(ts).alias("at")).filter(F.col("at").isNotNull())
+    placed = df.select(*keys, micros(ts).alias("at_us")).filter(F.col("at_us").isNotNull())
     # Repeated timestamps stay: a zero difference breaks the rule as well.
     numbered = windowed_in_blocks(
         placed,
-        F.col("at"),
+        F.col("at_us"),
         1,
-        lambda window: {"previous_at": F.lag("at").over(window)},
+        lambda window: {"previous_us": F.lag("at_us").over(window)},
         series=series,
         rows_per_block=rows_per_block,
     )
-    difference = F.col("at") - F.col("previous_at")
+    difference = F.col("at_us") - F.col("previous_us")
     return numbered.filter(difference != F.lit(step_seconds * MICROS)).withColumn(
         "gap_seconds", difference / F.lit(float(MICROS))
     )

@@ -154,7 +154,7 @@ def impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
         mode_v AS (SELECT kind AS m FROM seen WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1),
         codes AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS position FROM
           (SELECT DISTINCT coalesce(kind, m) AS k FROM seen, mode_v))
-        SELECT event_id, CAST(position AS INTEGER) AS position, CASE WHEN position IS NULL THEN 0.0 ELSE 1.0 END AS total
+        SELECT event_id, CAST(position AS INTEGER) AS position, CASE WHEN position IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total
         FROM gappy_v CROSS JOIN mode_v LEFT JOIN codes ON k = coalesce(kind, m)""",
 )
 def impute_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,12 +296,12 @@ def top_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "recent_predictions",
-    f"""{P} SELECT prediction_id, product_id, predicted_category, epoch_us("timestamp") AS at FROM preds_v
+    f"""{P} SELECT prediction_id, product_id, predicted_category, epoch_us("timestamp") AS at_us FROM preds_v
         ORDER BY "timestamp" DESC, prediction_id DESC LIMIT 10""",
 )
 def recent_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.recent_predictions(v.predictions(spark, sf_dir))
-    return rows.select("prediction_id", "product_id", "predicted_category", micros(F.col("timestamp")).alias("at"))
+    return rows.select("prediction_id", "product_id", "predicted_category", micros(F.col("timestamp")).alias("at_us"))
 
 
 @query("category_counts", f"{P} SELECT predicted_category, count(*) AS rows FROM preds_v GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -341,10 +341,10 @@ def prediction_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("timestamp", "predicted_sub_category")
 
 
-@query("confidence_series", f'{P} SELECT epoch_us("timestamp") AS at, prediction_id, confidence FROM preds_v ORDER BY at, prediction_id')
+@query("confidence_series", f'{P} SELECT epoch_us("timestamp") AS at_us, prediction_id, confidence FROM preds_v ORDER BY at_us, prediction_id')
 def confidence_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.confidence_series(v.predictions(spark, sf_dir))
-    return rows.select(micros(F.col("timestamp")).alias("at"), "prediction_id", "confidence")
+    return rows.select(micros(F.col("timestamp")).alias("at_us"), "prediction_id", "confidence")
 
 
 @query("category_values", f"{P} SELECT DISTINCT predicted_category FROM preds_v ORDER BY 1")

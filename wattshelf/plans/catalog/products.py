@@ -441,9 +441,9 @@ def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "models_upsert",
-    """WITH base AS (SELECT o_custkey AS c, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS t FROM orders
+    """WITH base AS (SELECT o_custkey AS c, max(o_totalprice) AS a, min(o_orderdate) AS t FROM orders
          WHERE o_orderstatus = 'F' GROUP BY o_custkey),
-       upd AS (SELECT o_custkey AS c, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS t FROM orders
+       upd AS (SELECT o_custkey AS c, max(o_totalprice) AS a, min(o_orderdate) AS t FROM orders
          WHERE o_orderstatus = 'O' GROUP BY o_custkey)
        SELECT CAST(coalesce(b.c, u.c) AS VARCHAR) AS version, CASE WHEN u.c IS NOT NULL THEN u.a ELSE b.a END AS accuracy,
          strftime(CASE WHEN b.c IS NOT NULL THEN b.t ELSE u.t END, '%Y-%m-%d') AS created_at
@@ -457,7 +457,7 @@ def models_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
             v.load(spark, sf_dir, "orders")
             .filter(F.col("o_orderstatus") == status)
             .groupBy(F.col("o_custkey").cast("string").alias("version"))
-            .agg(F.round(F.avg("o_totalprice"), 4).alias("accuracy"), F.min("o_orderdate").alias("created_at"))
+            .agg(F.max("o_totalprice").alias("accuracy"), F.min("o_orderdate").alias("created_at"))
         )
 
     merged = upsert_models(versions("F"), versions("O"))

@@ -22,16 +22,16 @@ RULES = quality.SeriesRules(
 )
 
 
-@query("parse_ts_mixed", f"WITH {v.METER} SELECT event_id, epoch_us({PARSED}) AS at FROM meter_v")
+@query("parse_ts_mixed", f"WITH {v.METER} SELECT event_id, epoch_us({PARSED}) AS at_us FROM meter_v")
 def parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.meter(spark, sf_dir).select("event_id", micros(parse_timestamp(F.col("date"))).alias("at"))
+    return v.meter(spark, sf_dir).select("event_id", micros(parse_timestamp(F.col("date"))).alias("at_us"))
 
 
 @query(
     "ts_duplicates",
-    f"""WITH {v.METER}, at_v AS (SELECT epoch_us({PARSED}) AS at, user_id FROM meter_v),
-        slot_v AS (SELECT user_id, at, count(*) AS n FROM at_v GROUP BY ALL)
-        SELECT user_id, CAST(coalesce(sum(n) FILTER (at IS NULL), 0) AS BIGINT) AS invalid_dates,
+    f"""WITH {v.METER}, at_v AS (SELECT epoch_us({PARSED}) AS at_us, user_id FROM meter_v),
+        slot_v AS (SELECT user_id, at_us, count(*) AS n FROM at_v GROUP BY ALL)
+        SELECT user_id, CAST(coalesce(sum(n) FILTER (at_us IS NULL), 0) AS BIGINT) AS invalid_dates,
           CAST(sum(n - 1) AS BIGINT) AS duplicate_timestamps FROM slot_v GROUP BY user_id""",
 )
 def ts_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,16 +52,16 @@ def ts_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ts_report",
-    f"""WITH {v.METER}, x AS (SELECT *, epoch_us({PARSED}) AS at, TRY_CAST("Usage_kWh" AS DOUBLE) AS u FROM meter_v),
-        slot_v AS (SELECT at, count(*) AS n FROM x GROUP BY at),
-        step_v AS (SELECT at - lag(at) OVER (ORDER BY at) AS d FROM x WHERE at IS NOT NULL)
+    f"""WITH {v.METER}, x AS (SELECT *, epoch_us({PARSED}) AS at_us, TRY_CAST("Usage_kWh" AS DOUBLE) AS u FROM meter_v),
+        slot_v AS (SELECT at_us, count(*) AS n FROM x GROUP BY at_us),
+        step_v AS (SELECT at_us - lag(at_us) OVER (ORDER BY at_us) AS d FROM x WHERE at_us IS NOT NULL)
         SELECT count(*) AS row_count,
           count(*) FILTER (date IS NULL) + count(*) FILTER ("Usage_kWh" IS NULL) + count(*) FILTER ("Load_Type" IS NULL) AS missing_values,
-          count(*) FILTER (at IS NULL) AS invalid_dates, count(*) FILTER (u < 0) AS negative_target,
+          count(*) FILTER (at_us IS NULL) AS invalid_dates, count(*) FILTER (u < 0) AS negative_target,
           count(*) FILTER (u IS NULL) AS non_numeric, count(*) FILTER (isinf(u)) AS infinite,
           (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM meter_v GROUP BY date, "Usage_kWh", "Load_Type")) AS duplicate_rows,
           (SELECT CAST(sum(n - 1) AS BIGINT) FROM slot_v) AS duplicate_timestamps,
-          CAST(max(at) <= min(at) AS BIGINT) AS single_timestamp_series,
+          CAST(max(at_us) <= min(at_us) AS BIGINT) AS single_timestamp_series,
           (SELECT CAST(count(*) FILTER (d <> 900000000) > 0 AS BIGINT) FROM step_v) AS irregular_series FROM x""",
 )
 def ts_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +95,9 @@ def ts_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ts_gaps",
-    """WITH x AS (SELECT user_id, epoch_us(ts) AS at, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_at FROM events)
-       SELECT user_id, at, previous_at, round((at - previous_at) / 1000000.0, 6) AS gap_seconds FROM x
-       WHERE at - previous_at <> 900000000""",
+    """WITH x AS (SELECT user_id, epoch_us(ts) AS at_us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_us FROM events)
+       SELECT user_id, at_us, previous_us, round((at_us - previous_us) / 1000000.0, 6) AS gap_seconds FROM x
+       WHERE at_us - previous_us <> 900000000""",
 )
 def ts_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw readings of each user against a 15-minute step."""
@@ -107,8 +107,8 @@ def ts_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ts_gaps_15m",
-    f"""WITH {v.ENERGY_15M}, x AS (SELECT epoch_us(date) AS at, lag(epoch_us(date)) OVER (ORDER BY date) AS previous_at FROM energy_15m_v)
-        SELECT at, previous_at, (at - previous_at) / 1000000.0 AS gap_seconds FROM x WHERE at - previous_at <> 900000000""",
+    f"""WITH {v.ENERGY_15M}, x AS (SELECT epoch_us(date) AS at_us, lag(epoch_us(date)) OVER (ORDER BY date) AS previous_us FROM energy_15m_v)
+        SELECT at_us, previous_us, (at_us - previous_us) / 1000000.0 AS gap_seconds FROM x WHERE at_us - previous_us <> 900000000""",
 )
 def ts_gaps_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.gaps(v.energy_15m(spark, sf_dir), F.col("date"))
@@ -119,7 +119,8 @@ def ts_gaps_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calendar_features",
-    """SELECT event_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, dayofyear(ts) AS day_of_year, hour(ts) AS hour,
+    """SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day,
+         CAST(dayofyear(ts) AS INTEGER) AS day_of_year, CAST(hour(ts) AS INTEGER) AS hour,
          round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) + 0.0 AS hour_cos FROM events""",
 )
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ def lag_sql(over: str) -> str:
 def rolling_sql(over: str) -> str:
     def one(name: str, function: str, n: int) -> str:
         frame = f"OVER ({over} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-        return f"CASE WHEN count(value) {frame} = {n} THEN round({function}(value) {frame}, 6) END AS usage_rolling_{name}_{n}"
+        return f"CASE WHEN count(value) {frame} = {n} THEN round({function}(value) {frame}, 8) END AS usage_rolling_{name}_{n}"
 
     return ", ".join([one("mean", "avg", 4), one("mean", "avg", 96), one("std", "stddev_samp", 96)])
 
@@ -145,7 +146,7 @@ def history(df: DataFrame, series: list[str], **options: object) -> DataFrame:
     rows = history_features(df, F.col("ts"), "value", series, [F.col("event_id")], **options)
     rolled = [name for name in rows.columns if "_rolling_" in name]
     lagged = [name for name in rows.columns if "_lag_" in name]
-    return rows.select("event_id", *lagged, *[F.round(name, 6).alias(name) for name in rolled])
+    return rows.select("event_id", *lagged, *[F.round(name, 8).alias(name) for name in rolled])
 
 
 @query("lag_features", f"SELECT event_id, {lag_sql('PARTITION BY user_id ORDER BY ts, event_id')} FROM events")
@@ -179,7 +180,7 @@ f_v AS (SELECT date, value, {lag_sql('ORDER BY date')}, {rolling_sql('ORDER BY d
 
 @query(
     "features_dropna",
-    f"""WITH {v.ENERGY}, {FEATURED} SELECT epoch_us(date) AS at, value AS "Usage_kWh", hour(date) AS hour, * EXCLUDE (date, value)
+    f"""WITH {v.ENERGY}, {FEATURED} SELECT epoch_us(date) AS at_us, value AS "Usage_kWh", CAST(hour(date) AS INTEGER) AS hour, * EXCLUDE (date, value)
         FROM f_v WHERE usage_lag_672 IS NOT NULL""",
 )
 def features_dropna(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ def features_dropna(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = [name for name in rows.columns if "_rolling_" in name]
     lagged = [name for name in rows.columns if "_lag_" in name]
     return rows.select(
-        micros(quoted("date")).alias("at"), "Usage_kWh", "hour", *lagged, *[F.round(n, 6).alias(n) for n in rolled]
+        micros(quoted("date")).alias("at_us"), "Usage_kWh", "hour", *lagged, *[F.round(n, 8).alias(n) for n in rolled]
     )
 
 

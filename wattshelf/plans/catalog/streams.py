@@ -72,12 +72,12 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_lags",
-    f"""WITH f AS (SELECT user_id, event_id, epoch_us(ts) AS at, lag(value, 1) OVER w AS usage_lag_1, lag(value, 4) OVER w AS usage_lag_4,
-          CASE WHEN count(value) OVER r = 4 THEN round(avg(value) OVER r, 6) END AS usage_rolling_mean_4,
-          CASE WHEN count(value) OVER r = 4 THEN round(stddev_samp(value) OVER r, 6) END AS usage_rolling_std_4
+    f"""WITH f AS (SELECT user_id, event_id, epoch_us(ts) AS at_us, lag(value, 1) OVER w AS usage_lag_1, lag(value, 4) OVER w AS usage_lag_4,
+          CASE WHEN count(value) OVER r = 4 THEN round(avg(value) OVER r, 8) END AS usage_rolling_mean_4,
+          CASE WHEN count(value) OVER r = 4 THEN round(stddev_samp(value) OVER r, 8) END AS usage_rolling_std_4
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
           r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-        SELECT * FROM f WHERE at <= {PASSED}""",
+        SELECT * FROM f WHERE at_us <= {PASSED}""",
 )
 def stream_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-lags")
@@ -89,10 +89,10 @@ def stream_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select(
         "user_id",
         F.col("row_key").alias("event_id"),
-        "at",
+        "at_us",
         "usage_lag_1",
         "usage_lag_4",
-        *[F.round(name, 6).alias(name) for name in rolled],
+        *[F.round(name, 8).alias(name) for name in rolled],
     )
 
 

@@ -55,8 +55,8 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "remove_stopwords",
     f"""SELECT doc_id, array_to_string(list_filter(string_split({v.sql_words('text')}, ' '),
-          lambda w: w NOT IN ({v.STOP})), '|') AS kept, len(list_filter(string_split({v.sql_words('text')}, ' '),
-          lambda w: w IN ({v.STOP}))) AS dropped FROM documents""",
+          lambda w: w NOT IN ({v.STOP})), '|') AS kept, CAST(len(list_filter(string_split({v.sql_words('text')}, ' '),
+          lambda w: w IN ({v.STOP}))) AS INTEGER) AS dropped FROM documents""",
 )
 def remove_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = t.split_words(t.clean_words(F.col("text")))
@@ -99,7 +99,7 @@ def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- TF-IDF -------------------------------------------------------------------------------
 
 
-@query("tokens", f"WITH {v.TOKENS} SELECT doc_id, array_to_string(t, '|') AS tokens, len(t) AS n FROM tokens_v")
+@query("tokens", f"WITH {v.TOKENS} SELECT doc_id, array_to_string(t, '|') AS tokens, CAST(len(t) AS INTEGER) AS n FROM tokens_v")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.corpus(spark, sf_dir).select("doc_id", t.tokens(F.col("corpus")).alias("t"))
     return rows.select("doc_id", F.array_join("t", "|").alias("tokens"), F.size("t").alias("n"))
@@ -127,7 +127,7 @@ def vocab_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.term_statistics(docs, "corpus", SETTINGS).filter(F.col("df").between(low, high))
 
 
-@query("vocab_topk", f"WITH {v.VOCAB} SELECT term, term_idx, df, cf FROM vocab_v")
+@query("vocab_topk", f"WITH {v.VOCAB} SELECT term, CAST(term_idx AS INTEGER) AS term_idx, df, cf FROM vocab_v")
 def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.fit_vocabulary(v.corpus(spark, sf_dir), "corpus", SETTINGS).drop("idf")
 
@@ -140,7 +140,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tfidf_matrix",
     f"""WITH {v.VOCAB}, w_v AS (SELECT doc_id, term_idx, tf * idf AS w FROM tf_v JOIN vocab_v USING (term))
-        SELECT doc_id, term_idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w_v""",
+        SELECT doc_id, CAST(term_idx AS INTEGER) AS term_idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w_v""",
 )
 def tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = v.corpus(spark, sf_dir)
@@ -172,7 +172,7 @@ unseen_w_v AS (SELECT conv_id, turn, term_idx, tf * idf AS w FROM unseen_tf_v JO
 
 @query(
     "tfidf_transform",
-    f"""WITH {v.VOCAB}, {UNSEEN} SELECT c.conv_id, c.turn, count(w) AS known_terms,
+    f"""WITH {v.VOCAB}, {UNSEEN} SELECT c.conv_id, c.turn, CAST(count(w) AS INTEGER) AS known_terms,
           round(coalesce(max(w) / sqrt(sum(w * w)), 0), 6) AS highest
         FROM conversations c LEFT JOIN unseen_w_v u ON c.conv_id = u.conv_id AND c.turn = u.turn GROUP BY c.conv_id, c.turn""",
 )

@@ -45,13 +45,9 @@ def write_report(report: DataFrame, path: str) -> str:
 def read_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All readable reports; broken lines are left out."""
     with_marker = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    rows = (
-        spark.read.schema(with_marker)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
-        .json(path)
-    )
-    return rows.filter(F.col("_broken").isNull()).drop("_broken")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    lines = spark.read.text(path).select(F.from_json("value", with_marker, options).alias("r"))
+    return lines.filter(F.col("r").isNotNull() & F.col("r._broken").isNull()).select("r.*").drop("_broken")
 
 
 def latest_report(reports: DataFrame, time: str = "generated_at") -> DataFrame:

@@ -91,14 +91,15 @@ def write_scored_batch(
     """Store the products of a scored batch and their predictions, and return both.
 
     Each batch owns one partition of either table and replaces it when it is written again,
-    so a failed or repeated batch leaves no half and no double rows.
+    so a failed or repeated batch leaves no half and no double rows. Ids follow those of the
+    earlier batches, so a repeated batch gets the same ids.
     """
     spark = batch.sparkSession
-    day0 = "batch_id bigint"
-    others = F.col("batch_id") != F.lit(batch_id)
-    product_max = highest(read_table(spark, products_path, f"{PRODUCTS_SCHEMA}, {day0}").filter(others), "id")
+    owner = "batch_id bigint"
+    earlier = F.col("batch_id") < F.lit(batch_id)
+    product_max = highest(read_table(spark, products_path, f"{PRODUCTS_SCHEMA}, {owner}").filter(earlier), "id")
     prediction_max = highest(
-        read_table(spark, predictions_path, f"{PREDICTIONS_SCHEMA}, {day0}").filter(others), "prediction_id"
+        read_table(spark, predictions_path, f"{PREDICTIONS_SCHEMA}, {owner}").filter(earlier), "prediction_id"
     )
     numbered = with_ordinals(batch, order, output="_n")
     now = F.current_timestamp()

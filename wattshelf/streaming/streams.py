@@ -87,7 +87,7 @@ def lag_schema(series: T.StructField, lags: Sequence[int], means: Sequence[int],
     names = [f"{prefix}_lag_{k}" for k in lags]
     names += [f"{prefix}_rolling_mean_{n}" for n in means] + [f"{prefix}_rolling_std_{n}" for n in stds]
     return T.StructType(
-        [series, T.StructField("at", T.LongType()), T.StructField("row_key", T.LongType()), T.StructField("value", T.DoubleType())]
+        [series, T.StructField("at_us", T.LongType()), T.StructField("row_key", T.LongType()), T.StructField("value", T.DoubleType())]
         + [T.StructField(name, T.DoubleType()) for name in names]
     )
 
@@ -135,7 +135,7 @@ def lag_stream(
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         past, at, keys, values = ([list(part) for part in state.get] if state.exists else [[], [], [], []])
         for batch in batches:
-            at += batch["at"].tolist()
+            at += batch["at_us"].tolist()
             keys += batch["row_key"].tolist()
             values += batch["value"].tolist()
         passed = state.getCurrentWatermarkMs() * 1000
@@ -146,7 +146,7 @@ def lag_stream(
             known = np.array(past + [row[2] for row in ready], dtype="float64")
             columns = _features_of(known, len(past), lags, means, stds)
             frame = {series: [key[0]] * len(ready)}
-            frame |= {"at": [r[0] for r in ready], "row_key": [r[1] for r in ready], "value": [r[2] for r in ready]}
+            frame |= {"at_us": [r[0] for r in ready], "row_key": [r[1] for r in ready], "value": [r[2] for r in ready]}
             frame |= dict(zip(output.names[4:], columns, strict=True))
             past = known[-depth:].tolist()
             yield pd.DataFrame(frame)
@@ -157,7 +157,7 @@ def lag_stream(
     placed = rows.withWatermark(ts, watermark).select(
         quoted(series).alias(series),
         quoted(ts).alias(ts),
-        micros(quoted(ts)).alias("at"),
+        micros(quoted(ts)).alias("at_us"),
         quoted(row_key).cast("bigint").alias("row_key"),
         quoted(value).cast("double").alias("value"),
     )

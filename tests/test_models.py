@@ -80,12 +80,33 @@ def test_every_classifier_learns_a_separable_set(spark, name):
     roster = [c for c in classify.candidates(chosen, float(frames.counts["train"])) if c.name == name]
     metrics, models = classify.fit_candidates(frames, chosen, roster)
     assert metrics[0]["accuracy"] == 1.0
-    predicted = models[name].transform(frames.test)
-    assert predicted.select(classify.confidence_of(predicted).alias("c")).filter("c is null").count() == (
+    predicted = models[name].predict(frames.test)
+    assert predicted.filter("confidence is null").count() == (
         predicted.count() if name == CLASSIFIER_ROSTER[3] else 0
     )
 
 
+def test_naive_bayes_uses_plain_class_shares(spark):
+    """Posterior from the definition: log share of the class plus smoothed term log-probabilities."""
+    rows = [(i, "red apple" if i % 4 else "blue sea", "a" if i % 4 else "b") for i in range(40)]
+    rows += [(100 + i, "red sea", "a") for i in range(4)]
+    frame = spark.createDataFrame(rows, "row_id long, name string, main_category string")
+    frames = classify.training_frames(frame, settings())
+    roster = [c for c in classify.candidates(settings(), 1.0) if c.name == classify.BAYES]
+    _, models = classify.fit_candidates(frames, settings(), roster)
+    train = frames.train.select(vector_to_array("features").alias("x"), "label").collect()
+    x, y = np.array([r["x"] for r in train]), np.array([r["label"] for r in train])
+    joint = []
+    for label in models[classify.BAYES].labels:
+        sums = x[y == label].sum(0) + 1
+        joint.append((np.log((y == label).mean()), np.log(sums / sums.sum())))
+    for row in models[classify.BAYES].predict(frames.train).select(vector_to_array("features").alias("x"), "confidence", "predicted_label").collect():
+        scores = np.array([prior + np.array(row["x"]) @ theta for prior, theta in joint])
+        shares = np.exp(scores - scores.max())
+        assert math.isclose(row["confidence"], shares.max() / shares.sum(), rel_tol=1e-9)
+        assert row["predicted_label"] == models[classify.BAYES].labels[int(scores.argmax())]
+
+
 def test_one_label_is_refused(spark):
     with pytest.raises(ValueError, match="two different labels"):
         classify.train_and_select(class_frame(spark).filter("main_category = 'fashion'"), settings())

@@ -108,3 +108,14 @@ def test_checks_and_upsert(spark):
     new = spark.createDataFrame([("1", None, 900), ("3", 0.7, 300)], "version string, accuracy double, created_at long")
     merged = {r["version"]: (r["accuracy"], r["created_at"]) for r in tables.upsert_models(base, new).collect()}
     assert merged == {"1": (None, 100), "2": (None, 200), "3": (0.7, 300)}
+
+
+def test_model_generations(spark, tmp_path):
+    path = str(tmp_path / "models")
+    at = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    first = spark.createDataFrame([("1", Decimal("0.5"), at[0])], tables.MODELS_SCHEMA)
+    second = spark.createDataFrame([("1", Decimal("0.75"), at[1]), ("2", None, at[2])], tables.MODELS_SCHEMA)
+    tables.store_models(first, path)
+    rows = {r["version"]: (r["accuracy"], r["created_at"]) for r in tables.store_models(second, path).collect()}
+    assert rows == {"1": (Decimal("0.75000"), at[0]), "2": (None, at[2])}
+    assert tables.read_models(spark, path).count() == 2

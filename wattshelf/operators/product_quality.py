@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,30 +212,57 @@ def verdict(df: DataFrame, rules: QualityRules) -> DataFrame:
     return with_verdict(count_checks(df, rules), absent, wrong_text_types(df, rules))
 
 
-def _sample_ids(df: DataFrame, rules: QualityRules, flag: str, output: str) -> DataFrame:
-    ids = F.collect_list(quoted(rules.row_id).cast("bigint"))
-    return offending_rows(df, rules, flag).agg(F.sort_array(ids).alias(output))
+def offending_samples(df: DataFrame, rules: QualityRules) -> DataFrame:
+    """One row with the first row ids of every check, from a single pass.
+
+    The rank filter is applied inside each task before the shuffle, so a check that most rows
+    fail still sends only its first few.
+    """
+    flags = row_flags(df, rules)
+    failed = F.filter(
+        F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]), lambda name: name.isNotNull()
+    )
+    row_id = quoted(rules.row_id).cast("bigint").alias("row_id")
+    first = Window.partitionBy("check").orderBy("row_id")
+    ranked = (
+        df.select(row_id, F.explode(failed).alias("check"))
+        .withColumn("rank", F.row_number().over(first))
+        .filter(F.col("rank") <= rules.max_sample_rows)
+    )
+    return ranked.agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("check") == name, F.col("row_id")))).alias(name) for name in flags]
+    )
 
 
 def quality_report(df: DataFrame, rules: QualityRules, dataset: str | None = None) -> DataFrame:
-    """The whole check as one row: counts, bounded samples, messages and the verdict."""
+    """The whole check as one row: counts, bounded samples, messages and the verdict.
+
+    One pass for the counts, one for the samples; the parts meet as scalar subqueries.
+    """
     roles = role_columns(df, rules)
     absent = [role for role, actual in roles.items() if actual is None]
     wrong = wrong_text_types(df, rules)
-    key = F.lit(1).alias("_k")
-    parts = [
-        duplicate_count(df, rules),
-        duplicate_rows(df, rules).agg(
-            F.sort_array(F.collect_list(quoted(rules.row_id).cast("bigint"))).alias("duplicate_rows")
-        ),
-        _sample_ids(df, rules, "blank_category", "null_category_rows"),
-        _sample_ids(df, rules, "invalid_category", "invalid_category_rows"),
-        _sample_ids(df, rules, "blank_description", "empty_description_rows"),
-        invalid_values(df, rules).agg(F.sort_array(F.collect_list("value")).alias("invalid_category_values")),
-    ]
-    report = verdict(df, rules).select("*", key)
-    for part in parts:  # one-row frames: an equi-join on a constant
-        report = report.join(F.broadcast(part.select("*", key)), "_k")
+    samples = offending_samples(df, rules).select(
+        F.struct(
+            F.col("blank_category").alias("null_category_rows"),
+            F.col("invalid_category").alias("invalid_category_rows"),
+            F.col("blank_description").alias("empty_description_rows"),
+        )
+    )
+    copies = duplicate_rows(df, rules).agg(F.sort_array(F.collect_list(quoted(rules.row_id).cast("bigint"))))
+    values = invalid_values(df, rules).agg(F.sort_array(F.collect_list("value")))
+    report = (
+        verdict(df, rules)
+        .select(
+            "*",
+            duplicate_count(df, rules).scalar().alias("duplicate_row_count"),
+            copies.scalar().alias("duplicate_rows"),
+            samples.scalar().alias("_samples"),
+            values.scalar().alias("invalid_category_values"),
+        )
+        .select("*", "_samples.*")
+        .drop("_samples")
+    )
     types = [F.create_map(F.lit(role), F.lit(text)) for role, text in wrong.items()]
     price_issue = F.when(
         F.col("unparseable_price_count") > 0,
@@ -245,7 +272,7 @@ def quality_report(df: DataFrame, rules: QualityRules, dataset: str | None = Non
         ),
     )
     empty = F.create_map().cast("map<string,string>")
-    return report.drop("_k").withColumns(
+    return report.withColumns(
         {
             "dataset": F.lit(dataset).cast("string"),
             "generated_at": F.current_timestamp(),

@@ -17,10 +17,28 @@ from pyspark.sql import functions as F
 
 from wattshelf.functions.columns import finite, quoted
 
-BINS = 1024
+MIN_BINS, MAX_BINS = 256, 16_384
+ROWS_PER_BIN = 500_000
 MAX_BLOCKS = 8192
 
 
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint only for a side whose row count is known and small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+@dataclass(frozen=True)
+class Hit:
+    """The value at a rank, the rows below it and the rows equal to it."""
+
+    value: float
+    below: int
+    equal: int
+
+
 @dataclass(frozen=True)
 class Profile:
     """Non-missing row count, range and bin edges of one numeric column."""
@@ -31,8 +49,14 @@ class Profile:
     edges: tuple[float, ...]
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, Profile]:
+def bins_for(rows: int) -> int:
+    """Enough bins that the one holding an answer stays small for a task, up to 10**10 rows."""
+    return min(MAX_BINS, max(MIN_BINS, rows // ROWS_PER_BIN))
+
+
+def profile_columns(df: DataFrame, columns: Sequence[str], bins: int | None = None) -> dict[str, Profile]:
     """One pass over all columns; missing, NaN and infinite values are left out."""
+    bins = bins or bins_for(df.count())
     shares = [i / bins for i in range(1, bins)]
     aggregates = []
     for i, name in enumerate(columns):
@@ -51,13 +75,17 @@ def profile_columns(df: DataFrame, columns: Sequence[str], bins: int = BINS) ->
 
 
 def with_bin(df: DataFrame, column: str, edges: Sequence[float], output: str) -> DataFrame:
-    """The number of edges at or below the value, found by binary search in the JVM."""
+    """The number of edges at or below the value, found by binary search in the JVM.
+
+    A missing value gets bin -1, so that no row is lost where the bin is a join key.
+    """
+    missing = quoted(column).isNull()
     if not edges:
-        return df.withColumn(output, F.lit(0))
+        return df.withColumn(output, F.when(missing, -1).otherwise(0))
     splits = [-math.inf, *edges, math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol=column, outputCol=output, handleInvalid="keep")
     binned = bucketizer.transform(df)
-    return binned.withColumn(output, F.col(output).cast("int"))
+    return binned.withColumn(output, F.when(missing, -1).otherwise(F.coalesce(F.col(output).cast("int"), F.lit(-1))))
 
 
 def values_at_ranks(
@@ -65,10 +93,20 @@ def values_at_ranks(
     ranks: Mapping[str, Sequence[int]],
     profiles: Mapping[str, Profile] | None = None,
 ) -> dict[str, list[float | None]]:
-    """The values at 0-based ranks of each column's ascending order; null past the end.
+    """The values at 0-based ranks of each column's ascending order; null past the end."""
+    hits = hits_at_ranks(df, ranks, profiles)
+    return {name: [hit and hit.value for hit in hits[name]] for name in ranks}
+
+
+def hits_at_ranks(
+    df: DataFrame,
+    ranks: Mapping[str, Sequence[int]],
+    profiles: Mapping[str, Profile] | None = None,
+) -> dict[str, list[Hit | None]]:
+    """What stands at 0-based ranks of each column's ascending order; null past the end.
 
-    Three jobs for any number of columns and ranks: the profile, the bin counts, and the
-    value counts inside the few bins that hold a rank.
+    A fixed number of jobs for any number of columns and ranks: the row count, the profile, the
+    bin counts, and the value counts inside the few bins that hold a rank.
     """
     columns = list(ranks)
     profiles = profiles or profile_columns(df, columns)
@@ -101,7 +139,7 @@ def values_at_ranks(
                     wanted.setdefault((i, b), {})[rank] = rank - before
                     break
                 before += depth[i][b]
-    found: dict[tuple[int, int], float] = {}
+    found: dict[tuple[int, int], Hit] = {}
     if wanted:
         spark = df.sparkSession
         targets = spark.createDataFrame(
@@ -115,7 +153,9 @@ def values_at_ranks(
         hits = spans.join(F.broadcast(targets), ["c", "b"]).filter(
             (F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("count"))
         )
-        found = {(row["c"], row["rank"]): row["v"] for row in hits.select("c", "rank", "v").collect()}
+        for row in hits.collect():
+            below = row["rank"] - row["local"] + row["upto"] - row["count"]
+            found[row["c"], row["rank"]] = Hit(row["v"], below, row["count"])
     return {name: [found.get((i, rank)) for rank in ranks[name]] for i, name in enumerate(columns)}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from wattshelf.functions.columns import null_if_nan, quoted, row_digest
 from wattshelf.functions.fixed_values import (
+    MAX_SAMPLE_ROWS,
     SERIES_CATEGORICAL,
     SERIES_NUMERIC,
     SERIES_STEP_SECONDS,
@@ -182,7 +183,7 @@ def series_report(df: DataFrame, rules: SeriesRules) -> DataFrame:
     ts = timestamp_of(df, rules.time)
     required = [quoted(name) for name in rules.required]
     missing = [
-        F.count_if(numeric_of(df, name).isNull() & quoted(name).isNull() | F.isnan(quoted(name)))
+        F.count_if(null_if_nan(quoted(name)).isNull())
         if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
         else F.count_if(quoted(name).isNull())
         for name in rules.required
@@ -209,10 +210,17 @@ def series_report(df: DataFrame, rules: SeriesRules) -> DataFrame:
         F.count_if(F.col("last_at") <= F.col("first_at")).alias("single_timestamp_series"),
         F.count_if((F.col("row_count") > 1) & ~F.col("regular")).alias("irregular_series"),
     )
-    report = counts.withColumn("_k", F.lit(1))
-    for part in (copies, repeats, grid):
-        report = report.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")
-    return report.drop("_k")
+    ends = grid.select(F.struct("single_timestamp_series", "irregular_series"))
+    return (
+        counts.select(
+            "*",
+            copies.scalar().alias("duplicate_rows"),
+            repeats.scalar().alias("duplicate_timestamps"),
+            ends.scalar().alias("_ends"),
+        )
+        .select("*", "_ends.*")
+        .drop("_ends")
+    )
 
 
 def validate_series(df: DataFrame, rules: SeriesRules | None = None, raise_on_error: bool = True) -> list[str]:
@@ -239,11 +247,10 @@ def validate_series(df: DataFrame, rules: SeriesRules | None = None, raise_on_er
         if report["negative_target"]:
             errors.append(f"{rules.target} cannot be negative")
         if rules.allowed:
-            outside = domain_violations(df, rules.allowed).groupBy("column").agg(
-                F.count(F.lit(1)).alias("n"), F.min("value").alias("first")
-            )
-            for row in outside.orderBy("column").collect():
-                errors.append(f"column {row['column']} has {row['n']} values outside its domain, first {row['first']!r}")
+            for column, allowed in rules.allowed.items():
+                outside = domain_violations(df, {column: allowed}).orderBy("value").limit(MAX_SAMPLE_ROWS)
+                if values := [row["value"] for row in outside.collect()]:
+                    errors.append(f"column {column} has values outside its domain: {values}")
         if not report["invalid_dates"] and report["row_count"]:
             if report["single_timestamp_series"]:
                 errors.append("dates must span more than one timestamp")

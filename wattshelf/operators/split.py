@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattshelf.functions.columns import hash_position, quoted, row_digest
 from wattshelf.functions.series import micros
-from wattshelf.operators.ranks import values_at_ranks
+from wattshelf.operators.ranks import broadcast_if_small, hits_at_ranks, values_at_ranks
 
 HASH_BUCKETS = 4096
 
@@ -70,6 +70,8 @@ def train_test_split(
     class costs no more than many small ones.
     """
     counts = {row["label"]: row["rows"] for row in label_counts(df, label).collect()}
+    if None in counts:
+        raise ValueError(f"column {label} has rows without a label")
     rows = sum(counts.values())
     test_rows = math.ceil(rows * test_share)
     stratify = (
@@ -84,14 +86,14 @@ def train_test_split(
     else:
         quotas = test_quotas(counts, test_rows)
         wanted = df.sparkSession.createDataFrame(list(quotas.items()), "_label string, _quota bigint")
-        cuts = _label_cuts(placed, label, wanted)
-        placed = placed.join(F.broadcast(cuts), quoted(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+        cuts = broadcast_if_small(_label_cuts(placed, label, wanted, len(counts)), len(counts))
+        placed = placed.join(cuts, quoted(label) == F.col("_label"), "left").drop("_label")
         is_test = F.coalesce(F.col("_position") <= F.col("_cut"), F.lit(False))
     return placed.withColumn(output, F.when(is_test, "test").otherwise("train")).drop("_position", "_cut")
 
 
-def _label_cuts(placed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
-    """The largest test position of each label with a quota above zero."""
+def _label_cuts(placed: DataFrame, label: str, quotas: DataFrame, labels: int) -> DataFrame:
+    """The largest test position of each label with a quota above zero: one row per label at most."""
     bucket = F.floor(F.col("_position") / F.lit(float(2**52 // HASH_BUCKETS)))
     keyed = placed.select(quoted(label).alias("_label"), "_position", bucket.alias("_bucket"))
     running = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,14 +101,14 @@ def _label_cuts(placed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
         keyed.groupBy("_label", "_bucket")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_upto", F.sum("_rows").over(running))
-        .join(F.broadcast(quotas), "_label")
+        .join(broadcast_if_small(quotas, labels), "_label")
     )
     edge = filled.filter(
         (F.col("_quota") > F.col("_upto") - F.col("_rows")) & (F.col("_quota") <= F.col("_upto"))
     ).select("_label", "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_need"))
     within = Window.partitionBy("_label", "_bucket").orderBy("_position")
     return (
-        keyed.join(F.broadcast(edge), ["_label", "_bucket"])
+        keyed.join(broadcast_if_small(edge, labels), ["_label", "_bucket"])
         .withColumn("_n", F.row_number().over(within))
         .filter(F.col("_n") == F.col("_need"))
         .select("_label", F.col("_position").alias("_cut"))
@@ -116,12 +118,8 @@ def _label_cuts(placed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, rows, weight) with weight = n / (classes * rows of the class)."""
     counts = label_counts(df, label)
-    whole = counts.agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k"), F.lit(1).alias("_k"))
-    return (
-        counts.withColumn("_k", F.lit(1))
-        .join(F.broadcast(whole), "_k")
-        .select("label", "rows", (F.col("n") / (F.col("k") * F.col("rows"))).alias("weight"))
-    )
+    mean_rows = label_counts(df, label).agg(F.sum("rows") / F.count(F.lit(1))).scalar()
+    return counts.select("label", "rows", (mean_rows / F.col("rows")).alias("weight"))
 
 
 def chronological_split(
@@ -142,17 +140,21 @@ def chronological_split(
     if train_end == 0 or validation_end <= train_end or validation_end >= n:
         raise ValueError("not enough rows for a chronological split")
     placed = df.withColumns({"_at": micros(ts).cast("double"), "_position": hash_position(quoted(key), seed)})
-    cut_times = values_at_ranks(placed, {"_at": [train_end, validation_end]})["_at"]
+    ends = (train_end, validation_end)
     bounds = []
-    for rank, at in zip((train_end, validation_end), cut_times, strict=True):
-        same_time = placed.filter(F.col("_at") == F.lit(at))
-        earlier = placed.filter(F.col("_at") < F.lit(at)).count()
-        position = values_at_ranks(same_time, {"_position": [rank - earlier]})["_position"][0]
-        bounds.append((at, position))
-
-    def before(bound: tuple[float, float]) -> Column:
+    for rank, hit in zip(ends, hits_at_ranks(placed, {"_at": ends})["_at"], strict=True):
+        if hit is None:
+            raise ValueError("rows without a time cannot be split by time")
+        position = None
+        if hit.below < rank:  # the cut falls among rows of one time
+            same_time = placed.filter(F.col("_at") == F.lit(hit.value))
+            position = values_at_ranks(same_time, {"_position": [rank - hit.below]})["_position"][0]
+        bounds.append((hit.value, position))
+
+    def before(bound: tuple[float, float | None]) -> Column:
         at, position = bound
-        return (F.col("_at") < at) | ((F.col("_at") == at) & (F.col("_position") < position))
+        earlier = F.col("_at") < at
+        return earlier if position is None else earlier | ((F.col("_at") == at) & (F.col("_position") < position))
 
     part = F.when(before(bounds[0]), "train").when(before(bounds[1]), "validation").otherwise("test")
     return placed.withColumn(output, part).drop("_at", "_position")

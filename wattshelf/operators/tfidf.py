@@ -102,12 +102,15 @@ def most_frequent(statistics: DataFrame, k: int) -> DataFrame:
     )
     total, lowest = 0, None
     for step, count in histogram:
-        total, lowest = total + count, step
         if total >= k:
             break
-    if total < k or lowest is None:
+        total, lowest = total + count, step
+    if total <= k or lowest is None:
         return statistics
-    return statistics.filter(steps >= lowest).orderBy(F.desc("cf"), F.asc("term")).limit(k)
+    candidates, order = statistics.filter(steps >= lowest), [F.desc("cf"), F.asc("term")]
+    if total > 4 * k:  # many ties at the cut: number them with a distributed sort
+        return dense_index(candidates, order, "_rank").filter(F.col("_rank") < k).drop("_rank")
+    return candidates.orderBy(*order).limit(k)
 
 
 def fit_vocabulary(df: DataFrame, corpus: str, settings: TfidfSettings | None = None) -> DataFrame:
@@ -187,7 +190,8 @@ def tfidf_rows(
 
 def feature_summary_row(df: DataFrame, vocabulary: DataFrame, text_columns: Sequence[str]) -> DataFrame:
     """row_count, feature_count and the text columns used, as one row."""
-    rows = df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(1).alias("_k"))
-    terms = vocabulary.agg(F.count(F.lit(1)).alias("feature_count"), F.lit(1).alias("_k"))
-    return rows.join(terms, "_k").drop("_k").withColumn("text_columns", F.lit(",".join(text_columns)))
+    terms = vocabulary.agg(F.count(F.lit(1))).scalar()
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        "row_count", terms.alias("feature_count"), F.lit(",".join(text_columns)).alias("text_columns")
+    )
 

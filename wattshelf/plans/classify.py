@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
@@ -13,10 +14,11 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     NaiveBayes,
+    NaiveBayesModel,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ from wattshelf.functions.fixed_values import CLASSIFIER_ROSTER, MAX_DF, MAX_FEAT
 from wattshelf.functions.text import clean_text, split_label
 from wattshelf.operators.metrics import best_classifier, classification_metrics, comparison_table
 from wattshelf.operators.projection import add_composite_label, add_corpus, keep_labelled, resolve_request_text, sample_rows
-from wattshelf.operators.split import class_weights, dataset_fingerprint, label_profile, train_test_split
+from wattshelf.operators.ranks import broadcast_if_small
+from wattshelf.operators.split import class_weights, dataset_fingerprint, label_counts, label_profile, train_test_split
 from wattshelf.operators.tfidf import TfidfSettings, fit_vocabulary, vectorise, vectorizer
 from wattshelf.session import materialise
 
@@ -204,12 +207,10 @@ def training_frames(df: DataFrame, settings: TrainingSettings) -> TrainingFrames
 
     vocabulary = fit_vocabulary(train, "corpus", settings.tfidf)
     vectors = vectorizer(vocabulary)
-    indexer = StringIndexer(
-        inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(train)
+    # Every label of the train part is known, so no class is set aside for unknown ones.
+    indexer = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
     weights = class_weights(train, "label").select("label", "weight")
-    # One weight row per class, no more than the labels the indexer model holds.
-    weighted = indexer.transform(train).join(F.broadcast(weights), "label")
+    weighted = indexer.transform(train).join(broadcast_if_small(weights, len(indexer.labels)), "label")
     train_rows = materialise(vectorise(weighted, "corpus", vectors, settings.tfidf).drop("corpus"))
     test_rows = materialise(vectorise(test, "corpus", vectors, settings.tfidf).drop("corpus"))
     counts = {"train": train_rows.count(), "test": test_rows.count()}
@@ -219,6 +220,48 @@ def training_frames(df: DataFrame, settings: TrainingSettings) -> TrainingFrames
     )
 
 
+@dataclass(frozen=True)
+class FittedClassifier:
+    """A Spark model, its labels, and an optional shift of the raw class scores.
+
+    The shift makes naive Bayes use the plain class shares as prior, where Spark smooths them.
+    """
+
+    model: Model
+    labels: tuple[str, ...]
+    shift: tuple[float, ...] | None = None
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Add ``predicted_label`` and ``confidence`` (null for a model without probabilities)."""
+        predicted = self.model.transform(df)
+        names = F.array(*[F.lit(label) for label in self.labels])
+        if self.shift is None:
+            return predicted.withColumns(
+                {
+                    "confidence": confidence_of(predicted),
+                    "predicted_label": F.element_at(names, F.col("prediction").cast("int") + 1),
+                }
+            )
+        shift = F.array(*[F.lit(value) for value in self.shift])
+        shifted = predicted.withColumn(
+            "_raw", F.zip_with(vector_to_array("rawPrediction"), shift, lambda raw, by: raw + by)
+        )
+        highest = F.array_max("_raw")
+        weights = F.transform("_raw", lambda raw: F.exp(raw - highest))
+        total = F.aggregate(weights, F.lit(0.0), lambda sum_, weight: sum_ + weight)
+        best = F.array_position("_raw", highest).cast("int")
+        return shifted.withColumns(
+            {"confidence": F.lit(1.0) / total, "predicted_label": F.element_at(names, best)}
+        ).drop("_raw")
+
+
+def prior_shift(model: NaiveBayesModel, train: DataFrame, labels: Sequence[str]) -> tuple[float, ...]:
+    """Log class shares minus the smoothed log priors of the model."""
+    rows = {row["label"]: row["rows"] for row in label_counts(train, "label").collect()}
+    total = sum(rows.values())
+    return tuple(math.log(rows[label] / total) - float(pi) for label, pi in zip(labels, model.pi, strict=True))
+
+
 def evaluate(predictions: DataFrame, average: str = "weighted") -> dict[str, float]:
     row = classification_metrics(predictions, "label", "predicted_label", average).first()
     return {name: row[name] for name in ("accuracy", "precision", "recall", "f1_score")}
@@ -226,19 +269,20 @@ def evaluate(predictions: DataFrame, average: str = "weighted") -> dict[str, flo
 
 def fit_candidates(
     frames: TrainingFrames, settings: TrainingSettings, roster: Sequence[Candidate] | None = None
-) -> tuple[list[dict[str, Any]], dict[str, PipelineModel]]:
-    """A metrics row per candidate, and the fitted model with label decoding for each that ran."""
+) -> tuple[list[dict[str, Any]], dict[str, FittedClassifier]]:
+    """A metrics row per candidate, and the fitted classifier for each that ran."""
     roster = roster if roster is not None else candidates(settings, float(frames.counts["train"]))
-    decode = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=frames.indexer.labels)
+    labels = tuple(frames.indexer.labels)
     rows, models = [], {}
     for ordinal, candidate in enumerate(roster):
         row: dict[str, Any] = {"ordinal": ordinal, "model_name": candidate.name, "message": candidate.skipped}
         if candidate.estimator is None:
             row |= {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1_score": 0.0, "status": "skipped"}
         else:
-            model = PipelineModel([candidate.estimator.fit(frames.train), decode])
-            models[candidate.name] = model
-            row |= evaluate(model.transform(frames.test), settings.average) | {"status": "trained"}
+            model = candidate.estimator.fit(frames.train)
+            shift = prior_shift(model, frames.train, labels) if isinstance(model, NaiveBayesModel) else None
+            models[candidate.name] = FittedClassifier(model, labels, shift)
+            row |= evaluate(models[candidate.name].predict(frames.test), settings.average) | {"status": "trained"}
         rows.append(row)
     return rows, models
 
@@ -286,7 +330,7 @@ class ProductScorer:
     """Cleaning, vectorising, predicting and label splitting as one reusable transform."""
 
     vectorizer: PipelineModel
-    model: Model
+    classifier: FittedClassifier
     settings: TfidfSettings
 
     def score(self, df: DataFrame, text: str = "request_text") -> DataFrame:
@@ -294,22 +338,27 @@ class ProductScorer:
         kept = df.columns
         cleaned = df.withColumn("cleaned_text", clean_text(quoted(text)))
         vectors = vectorise(cleaned, "cleaned_text", self.vectorizer, self.settings)
-        predicted = self.model.transform(vectors)
+        predicted = self.classifier.predict(vectors)
         parts = split_label(F.col("predicted_label"))
         return predicted.select(
             *[quoted(name) for name in kept],
             "cleaned_text",
             parts.getField("category").alias("predicted_category"),
             parts.getField("sub_category").alias("predicted_sub_category"),
-            confidence_of(predicted).alias("confidence"),
+            "confidence",
         )
 
     def save(self, path: str) -> None:
         base = path.rstrip("/")
         self.vectorizer.write().overwrite().save(f"{base}/vectorizer")
-        self.model.write().overwrite().save(f"{base}/classifier")
+        PipelineModel([self.classifier.model]).write().overwrite().save(f"{base}/classifier")
+        values = {
+            "tfidf": asdict(self.settings),
+            "labels": self.classifier.labels,
+            "shift": self.classifier.shift,
+        }
         spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps(asdict(self.settings)),)], "settings string").write.mode(
+        spark.createDataFrame([(json.dumps(values),)], "settings string").write.mode(
             "overwrite"
         ).json(f"{base}/settings")
 
@@ -318,10 +367,12 @@ class ProductScorer:
         base = path.rstrip("/")
         stored = SparkSession.active().read.schema("settings string").json(f"{base}/settings").first()
         values = json.loads(stored["settings"])
-        settings = TfidfSettings(**(values | {"ngram_range": tuple(values["ngram_range"])}))
-        return ProductScorer(
-            PipelineModel.load(f"{base}/vectorizer"), PipelineModel.load(f"{base}/classifier"), settings
-        )
+        tfidf = values["tfidf"]
+        settings = TfidfSettings(**(tfidf | {"ngram_range": tuple(tfidf["ngram_range"])}))
+        model = PipelineModel.load(f"{base}/classifier").stages[0]
+        shift = None if values["shift"] is None else tuple(values["shift"])
+        classifier = FittedClassifier(model, tuple(values["labels"]), shift)
+        return ProductScorer(PipelineModel.load(f"{base}/vectorizer"), classifier, settings)
 
 
 def score_products(scorer: ProductScorer, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -346,13 +397,11 @@ def naive_bayes_parameters(
         .agg(F.sum("tf").alias("term_sum"))
     )
     classes = sums.groupBy("label").agg(F.sum("term_sum").alias("class_sum"))
-    # One row with one entry per class, attached to each term by a constant equi-join.
-    roster = classes.agg(F.collect_list(F.struct("label", "class_sum")).alias("classes"), F.lit(1).alias("_k"))
-    size = terms.agg(F.count(F.lit(1)).alias("v"), F.lit(1).alias("_k"))
+    # The list of classes and the vocabulary size are single values, computed once as subqueries.
+    roster = classes.agg(F.collect_list(F.struct("label", "class_sum"))).scalar()
+    size = terms.agg(F.count(F.lit(1))).scalar()
     pairs = (
-        terms.select("term", F.lit(1).alias("_k"))
-        .join(F.broadcast(roster), "_k")
-        .join(F.broadcast(size), "_k")
+        terms.select("term", size.alias("v"), roster.alias("classes"))
         .select("term", "v", F.explode("classes").alias("c"))
         .select("term", "v", "c.*")
     )

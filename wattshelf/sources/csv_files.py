@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattshelf.functions.columns import null_tokens_to_null, quoted
@@ -46,6 +47,11 @@ def read_csv(
     return null_tokens_to_null(reader.csv(path))
 
 
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Unique row ids that grow in file order, for files without a key of their own."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path

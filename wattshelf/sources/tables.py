@@ -85,6 +85,25 @@ def upsert_models(base: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """The newest generation of the stored model versions."""
+    stored = read_table(spark, path, f"{MODELS_SCHEMA}, generation bigint")
+    return stored.filter(F.col("generation") == F.lit(highest(stored, "generation"))).drop("generation")
+
+
+def store_models(updates: DataFrame, path: str) -> DataFrame:
+    """Upsert into the stored table. The result is a new generation next to the old one, so a
+    failed write leaves the old table as it was."""
+    spark = updates.sparkSession
+    stored = read_table(spark, path, f"{MODELS_SCHEMA}, generation bigint")
+    following = highest(stored, "generation") + 1
+    merged = upsert_models(read_models(spark, path), updates)
+    merged.select(
+        "version", F.col("accuracy").cast("decimal(6,5)").alias("accuracy"), "created_at"
+    ).write.mode("overwrite").parquet(f"{path.rstrip('/')}/generation={following}")
+    return read_models(spark, path)
+
+
 def write_scored_batch(
     batch: DataFrame, batch_id: int, order: Column, products_path: str, predictions_path: str
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wattshelf.operators import split
 from wattshelf.operators.projection import drop_incomplete, history_by_category, keep_labelled, lookup, sample_rows
-from wattshelf.operators.ranks import dense_index, exact_quantiles, values_at_ranks
+from wattshelf.operators.ranks import bins_for, dense_index, exact_quantiles, values_at_ranks
 
 
 def test_quantiles_equal_numpy(spark):
@@ -51,6 +51,12 @@ def test_quotas_add_up(counts, share):
     assert all(0 <= quotas[label] <= counts[label] for label in counts)
 
 
+def test_bucket_and_bin_numbers_follow_the_rows():
+    assert split.hash_buckets(10) == 4096 and split.hash_buckets(10**12) == 1 << 20
+    assert 10**9 / split.hash_buckets(10**9) <= split.ROWS_PER_BUCKET
+    assert (bins_for(1000), bins_for(10**9), bins_for(10**12)) == (256, 2000, 16384)
+
+
 def labelled(spark, sizes):
     rows = [(i * 1000 + j, label) for i, (label, n) in enumerate(sizes.items()) for j in range(n)]
     return spark.createDataFrame(rows, "id long, label string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +77,15 @@ def bin_frame(df: DataFrame, bins: Mapping[str, Sequence[float]]) -> DataFrame:
 
 def psi_from_counts(counts: DataFrame, groups: Sequence[str] = ("column",)) -> DataFrame:
     """PSI per group from (bin, expected, actual) counts; shares have a floor."""
-    totals = counts.groupBy(*groups).agg(
-        F.greatest(F.sum("expected"), F.lit(1)).alias("_e"), F.greatest(F.sum("actual"), F.lit(1)).alias("_a")
-    )
-    shares = counts.join(totals, list(groups))
-    expected = F.greatest(F.col("expected") / F.col("_e"), F.lit(PSI_FLOOR))
-    actual = F.greatest(F.col("actual") / F.col("_a"), F.lit(PSI_FLOOR))
+    # A group holds one row per bin, so the window is as small as the bin list.
+    group = Window.partitionBy(*groups)
+
+    def share(side: str) -> Column:
+        total = F.greatest(F.sum(side).over(group), F.lit(1))
+        return F.greatest(F.col(side) / total, F.lit(PSI_FLOOR)).alias(side)
+
+    shares = counts.select(*groups, share("expected"), share("actual"))
+    expected, actual = F.col("expected"), F.col("actual")
     return shares.groupBy(*groups).agg(F.sum((actual - expected) * F.log(actual / expected)).alias("psi"))
 
 
@@ -117,12 +120,22 @@ def windowed_counts(df: DataFrame, ts: str, bins: Mapping[str, Sequence[float]],
 
 def windowed_psi(counts: DataFrame, expected: DataFrame) -> DataFrame:
     """PSI per (window, column) of windowed counts against the reference histogram."""
-    present = counts.select("window_start", "column").distinct()
-    full = present.join(F.broadcast(expected.select("column", "bin", "expected")), "column")
-    filled = full.join(counts, ["window_start", "column", "bin"], "left").withColumn(
-        "actual", F.coalesce("actual", F.lit(0))
+    # Lists of at most one entry per bin: all bins of a window, and those that it filled.
+    found = counts.groupBy("window_start", "column").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "actual"))).alias("found")
+    )
+    wanted = expected.groupBy("column").agg(F.collect_list(F.struct("bin", "expected")).alias("wanted"))
+    cells = (
+        found.join(F.broadcast(wanted), "column")
+        .select("window_start", "column", "found", F.explode("wanted").alias("w"))
+        .select(
+            "window_start",
+            "column",
+            "w.expected",
+            F.coalesce(F.element_at("found", F.col("w.bin")), F.lit(0)).alias("actual"),
+        )
     )
-    return psi_from_counts(filled, ["window_start", "column"])
+    return psi_from_counts(cells, ["window_start", "column"])
 
 
 def prediction_summary(df: DataFrame, prediction: str, groups: Sequence[str] = ()) -> DataFrame:

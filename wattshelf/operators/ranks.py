@@ -236,13 +236,18 @@ def windowed_in_blocks(
     series: Sequence[str] = (),
     rows_per_block: int = 1_000_000,
 ) -> DataFrame:
-    """Window columns that look back at most ``halo`` rows, computed block by block.
+    """Window columns that look back at most ``halo`` rows, with bounded work per task.
 
-    Each series is cut into runs of ``rows_per_block`` consecutive rows; the last ``halo`` rows
-    of a run are also sent to the next run and dropped again after the window. The result is
-    that of one window per series, without ever holding a series in one task.
+    Where every series has at most ``rows_per_block`` rows, this is one window per series and
+    one shuffle. Otherwise each series is cut into runs of that many consecutive rows; the last
+    ``halo`` rows of a run are also sent to the next run and dropped again after the window.
     ``make_columns`` gets the window (partitioned and ordered) and returns name -> column.
     """
+    keys = [quoted(name) for name in series]
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= rows_per_block:
+        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order.cast("double"), *tiebreak)
+        return df.withColumns(make_columns(whole))
     run = max(rows_per_block, halo, 1)
     numbered = with_ordinals(df, order, tiebreak, series, "_ordinal", rows_per_block)
     at = F.col("_ordinal") - 1
@@ -250,7 +255,7 @@ def windowed_in_blocks(
     next_run = F.struct((F.floor(at / run) + 1).alias("run"), F.lit(True).alias("halo"))
     copies = F.when(at % run >= run - halo, F.array(own, next_run)).otherwise(F.array(own))
     spread = numbered.withColumn("_copy", F.explode(copies))
-    window = Window.partitionBy(*[quoted(name) for name in series], F.col("_copy.run")).orderBy("_ordinal")
+    window = Window.partitionBy(*keys, F.col("_copy.run")).orderBy("_ordinal")
     return (
         spread.withColumns(make_columns(window))
         .filter(~F.col("_copy.halo"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from wattshelf.functions.columns import hash_position, quoted, row_digest
 from wattshelf.functions.series import micros
 from wattshelf.operators.ranks import broadcast_if_small, hits_at_ranks, values_at_ranks
 
-HASH_BUCKETS = 4096
+MIN_BUCKETS, MAX_BUCKETS = 4096, 1 << 20
+ROWS_PER_BUCKET = 100_000
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -86,15 +87,21 @@ def train_test_split(
     else:
         quotas = test_quotas(counts, test_rows)
         wanted = df.sparkSession.createDataFrame(list(quotas.items()), "_label string, _quota bigint")
-        cuts = broadcast_if_small(_label_cuts(placed, label, wanted, len(counts)), len(counts))
+        cuts = broadcast_if_small(_label_cuts(placed, label, wanted, counts), len(counts))
         placed = placed.join(cuts, quoted(label) == F.col("_label"), "left").drop("_label")
         is_test = F.coalesce(F.col("_position") <= F.col("_cut"), F.lit(False))
     return placed.withColumn(output, F.when(is_test, "test").otherwise("train")).drop("_position", "_cut")
 
 
-def _label_cuts(placed: DataFrame, label: str, quotas: DataFrame, labels: int) -> DataFrame:
+def hash_buckets(largest: int) -> int:
+    """A power of two that leaves a bucket of the largest label small enough for a task."""
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (largest // ROWS_PER_BUCKET).bit_length()))
+
+
+def _label_cuts(placed: DataFrame, label: str, quotas: DataFrame, counts: Mapping[str, int]) -> DataFrame:
     """The largest test position of each label with a quota above zero: one row per label at most."""
-    bucket = F.floor(F.col("_position") / F.lit(float(2**52 // HASH_BUCKETS)))
+    labels = len(counts)
+    bucket = F.floor(F.col("_position") / F.lit(float(2**52 // hash_buckets(max(counts.values())))))
     keyed = placed.select(quoted(label).alias("_label"), "_position", bucket.alias("_bucket"))
     running = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     filled = (

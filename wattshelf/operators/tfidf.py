@@ -55,21 +55,19 @@ def term_statistics(df: DataFrame, corpus: str, settings: TfidfSettings) -> Data
     the document count; no (document, term) pairs are shuffled.
     """
 
-    def tagged(bound: Column) -> Column:
-        occurrences = F.transform(
-            bound, lambda term: F.struct(term.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
-        )
-        documents = F.transform(
-            F.array_distinct(bound),
-            lambda term: F.struct(term.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")),
-        )
-        return F.concat(occurrences, documents)
-
-    counted = F.element_at(F.transform(F.array(terms_of(quoted(corpus), settings)), tagged), 1)
+    def with_distinct(bound: Column) -> Column:
+        both = F.concat(bound, F.array_distinct(bound))
+        return F.struct(both.alias("terms"), F.size(bound).alias("n"))
+
+    held = F.element_at(F.transform(F.array(terms_of(quoted(corpus), settings)), with_distinct), 1)
+    spread = df.select(held.alias("t")).select(
+        F.col("t.n").alias("n"), F.posexplode_outer("t.terms").alias("pos", "term")
+    )
+    occurs = F.col("pos") < F.col("n")  # the distinct terms follow the occurrences
     return (
-        exploded(df, counted, "t")
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.d").alias("df"), F.sum("t.c").alias("cf"))
+        spread.filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.count_if(~occurs).alias("df"), F.count_if(occurs).alias("cf"))
     )
 
 

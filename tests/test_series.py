@@ -67,6 +67,12 @@ def test_errors_raise_by_default(spark):
         ("13/02/2018 00:15", datetime(2018, 2, 13, 0, 15)),
         ("2018-02-03 04:05:06", datetime(2018, 2, 3, 4, 5, 6)),
         ("2018-02-03", datetime(2018, 2, 3)),
+        ("2018-02-03T04:05", datetime(2018, 2, 3, 4, 5)),
+        ("1/2/2018 0:15", datetime(2018, 2, 1, 0, 15)),
+        ("02/13/2018 00:15", datetime(2018, 2, 13, 0, 15)),
+        ("3.2.2018", datetime(2018, 2, 3)),
+        ("31/02/2018 00:15", None),
+        ("2018-02-31", None),
         ("32/01/2018 00:00", None),
         ("soon", None),
         (None, None),

@@ -78,7 +78,6 @@ MIN_DF = 2
 MAX_DF = 0.95
 
 # --- Fixed values: meter series.
-DAY_FIRST_FORMAT = "dd/MM/yyyy HH:mm"
 SERIES_TIME = "date"
 SERIES_TARGET = "Usage_kWh"
 SERIES_NUMERIC = (

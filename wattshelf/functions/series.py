@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wattshelf.functions.fixed_values import DAY_FIRST_FORMAT
-
-FALLBACK_FORMATS = (
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd",
-    "dd-MM-yyyy HH:mm",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy HH:mm",
-)
-
-
-def parse_timestamp(
-    text: Column,
-    preferred: str = DAY_FIRST_FORMAT,
-    fallbacks: Sequence[str] = FALLBACK_FORMATS,
-) -> Column:
-    """Day-first text to a timestamp; ISO text stays year-first; anything else is null."""
-    formats = (preferred, *fallbacks)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats])
+# --- Fixed values: clock shapes after a day-first date, and the date orders tried on them.
+CLOCKS = {r" \d{1,2}:\d{2}": " H:mm", r" \d{1,2}:\d{2}:\d{2}": " H:mm:ss", "": ""}
+DATE_ORDERS = ("d/M/yyyy", "M/d/yyyy")
+
+
+def parse_timestamp(text: Column) -> Column:
+    """Day-first text to a timestamp, month-first where only that is a date; ISO text stays
+    year-first; anything else is null.
+
+    The shape is tested before a format is tried, as a failed try costs far more than a match.
+    """
+    trimmed = F.trim(text)
+    slashed = F.regexp_replace(trimmed, r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})", "$1/$2/$3")
+    tries = []
+    for shape, clock in CLOCKS.items():
+        fits = slashed.rlike(rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{shape}$")
+        tries += [F.when(fits, F.try_to_timestamp(slashed, F.lit(order + clock))) for order in DATE_ORDERS]
+    iso = F.when(trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), trimmed.try_cast("timestamp"))
+    return F.coalesce(*tries, iso)
 
 
 def calendar_columns(ts: Column) -> dict[str, Column]:

@@ -27,15 +27,16 @@ def build_session(app_name: str = "wattshelf", master: str | None = None, **conf
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a private folder only where none is set."""
+    """The session's ``spark.checkpoint.dir``; a private folder only for an unset local session."""
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wattshelf-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    current = context.getCheckpointDir()
+    if current is None:
+        if configured is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wattshelf-checkpoint-"))
+        current = context.getCheckpointDir()
+    return configured or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -45,6 +46,16 @@ def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
+@contextmanager
+def held(batch: DataFrame) -> Iterator[DataFrame]:
+    """Keep a micro-batch that is written more than once, so that its source is read once."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 # --- Scoring ------------------------------------------------------------------------------
 
 
@@ -54,10 +65,11 @@ def scoring_stream(
     """Score requests and store product and prediction rows, each batch at most once."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        scored, rejected = score_products(scorer, batch)
-        named = scored.withColumn("product_name", F.coalesce("product_name", "request_text"))
-        write_scored_batch(named, batch_id, quoted(order), products_path, predictions_path)
-        replace_batch(rejected, rejected_path, batch_id)
+        with held(batch):
+            scored, rejected = score_products(scorer, batch)
+            named = scored.withColumn("product_name", F.coalesce("product_name", "request_text"))
+            write_scored_batch(named, batch_id, quoted(order), products_path, predictions_path)
+            replace_batch(rejected, rejected_path, batch_id)
 
     return requests.writeStream.foreachBatch(store)
 
@@ -70,12 +82,13 @@ def quarantine_stream(products: DataFrame, rules: QualityRules, good_path: str,
     flags = ("blank_category", "invalid_category", "blank_description", "bad_price")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        flagged = with_row_flags(batch, rules)
         bad = F.lit(False)
         for flag in flags:
             bad = bad | F.coalesce(F.col(flag), F.lit(True))
-        replace_batch(flagged.filter(~bad).drop(*flags), good_path, batch_id)
-        replace_batch(flagged.filter(bad), bad_path, batch_id)
+        with held(batch):
+            flagged = with_row_flags(batch, rules)
+            replace_batch(flagged.filter(~bad).drop(*flags), good_path, batch_id)
+            replace_batch(flagged.filter(bad), bad_path, batch_id)
 
     return products.writeStream.foreachBatch(store)
 

@@ -375,7 +375,7 @@ def percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "windowed_category_counts",
     f"""{P} SELECT epoch_us(time_bucket(INTERVAL '15 minutes', "timestamp")) AS window_start, predicted_category,
-          count(*) AS rows, round(avg(confidence), 6) AS mean_confidence FROM preds_v GROUP BY 1, 2""",
+          count(*) AS rows, round(avg(confidence), 10) AS mean_confidence FROM preds_v GROUP BY 1, 2""",
 )
 def windowed_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.windowed_category_counts(v.predictions(spark, sf_dir))
@@ -383,7 +383,7 @@ def windowed_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         micros(F.col("window_start")).alias("window_start"),
         "predicted_category",
         "rows",
-        F.round("mean_confidence", 6).alias("mean_confidence"),
+        F.round("mean_confidence", 10).alias("mean_confidence"),
     )
 
 

@@ -112,7 +112,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_window_counts",
     f"""SELECT epoch_us(time_bucket(INTERVAL '15 minutes', ts)) AS window_start, event_type AS predicted_category,
-          count(*) AS rows, round(avg(least(1.0, value / 500)), 6) AS mean_confidence FROM events GROUP BY 1, 2
+          count(*) AS rows, round(avg(least(1.0, value / 500)), 10) AS mean_confidence FROM events GROUP BY 1, 2
         HAVING window_start + 900000000 <= {PASSED}""",
 )
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         micros(F.col("window_start")).alias("window_start"),
         "predicted_category",
         "rows",
-        F.round("mean_confidence", 6).alias("mean_confidence"),
+        F.round("mean_confidence", 10).alias("mean_confidence"),
     )
 
 

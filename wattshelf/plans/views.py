@@ -113,10 +113,11 @@ def sql_tokens(text: str) -> str:
 
 
 def sql_decode(text: str) -> str:
-    """The entities that occur in the pages, the ampersand last."""
+    """The entities that occur in the pages, the ampersand last. HTML decodes these four without
+    their semicolon too, as happens where a page cuts one short."""
     steps = text
-    for entity, character in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        steps = f"replace({steps}, '{entity}', '{character}')"
+    for entity, character in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        steps = f"regexp_replace({steps}, '&{entity};?', '{character}', 'g')"
     return steps
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +26,35 @@ def build_session(app_name: str = "wattshelf", master: str | None = None, **conf
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a private folder only for an unset local session."""
+    """The session's ``spark.checkpoint.dir``; a folder below the warehouse where it is not set."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current is None:
-        if configured is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wattshelf-checkpoint-"))
-        current = context.getCheckpointDir()
-    return configured or current
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, visible to every executor."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, visible to every executor; deleted when the session's JVM ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written copy."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path before the session ends."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def materialise(df: DataFrame, name: str = "copy") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and continue from the written copy.
+
+    Unlike ``checkpoint()`` the copy keeps its columns, so later scans read only what they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshelf.llm import decontaminate, licenses, line_rules, mixing, token_store, urls, warc
+from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, token_store, urls, warc
 from wattshelf.llm.common import table
 from wattshelf.plans.catalog.registry import Query
 from wattshelf.session import scratch_path
@@ -66,6 +66,11 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_near_join")
+def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_warc")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, token_store, urls, warc
+from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, pii, token_store, urls, warc
 from wattshelf.llm.common import table
 from wattshelf.plans.catalog.registry import Query
 from wattshelf.session import scratch_path
@@ -45,6 +45,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op2_mixing")
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, pii, token_store, urls, warc
+from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, pii, suffix_dedup, token_store, urls, warc
 from wattshelf.llm.common import table
 from wattshelf.plans.catalog.registry import Query
 from wattshelf.session import scratch_path
@@ -56,6 +56,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "whole", "extra")
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_store")
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,3 +110,13 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, keys: list[str], how: str =
 def parts_for(units: int, per_part: int) -> int:
     """How many parts hold ``units`` at ``per_part`` each; follows the input, without an upper cap."""
     return max(1, math.ceil(units / per_part))
+
+
+def tokenizer_file() -> str:
+    """Where the public tokenizer lies; ``WATTSHELF_TOKENIZER`` names another file."""
+    named = os.environ.get("WATTSHELF_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, pii, suffix_dedup, token_store, urls, warc
-from wattshelf.llm.common import table
+from wattshelf.llm.common import table, tokenizer_file
 from wattshelf.plans.catalog.registry import Query
 from wattshelf.session import scratch_path
 
@@ -35,16 +34,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_file() -> str:
-    """Where the public tokenizer lies; ``WATTSHELF_TOKENIZER`` names another file."""
-    named = os.environ.get("WATTSHELF_TOKENIZER")
-    if named:
-        return named
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op1_pii")
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -110,3 +99,8 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

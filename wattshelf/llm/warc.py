@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,6 +119,23 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
+def gunzip_members(data: bytes) -> bytes:
+    """All gzip members of an archive, read in slices so that each byte is copied a bounded number of times."""
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = data[at : at + 16384]
+            if not piece:
+                raise ValueError("gzip member is cut")
+            out.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        while at < len(data) and data[at] == 0:
+            at += 1
+    return b"".join(out)
+
+
 def with_first_copy(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(row, uri, payload, first_row): the smallest row with the same payload, or the row itself.
 
@@ -195,7 +213,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                data = gzip.decompress(content.as_py())
+                data = gunzip_members(content.as_py())
                 for fields, block in parse_records(data):
                     integer = lambda name: int(fields[name]) if name in fields else None  # noqa: E731, B023
                     rows.append((

@@ -80,11 +80,18 @@ def mix(
             F.col("source"),
             F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
             word_count(F.col("text")).alias("size"),
-        ).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text_key")),
+            F.md5(
+                F.concat_ws(
+                    "|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))
+                )
+            ).alias("_order"),
+        ),
         "mix-sizes",
     )
     n_buckets = parts_for(sized.count(), docs_per_bucket)
-    sized = sized.withColumn("_bucket", F.pmod(F.col("_order"), F.lit(n_buckets)))
+    # buckets follow the hash order, so their number does not change the result
+    leading = F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint")
+    sized = sized.withColumn("_bucket", F.shiftright(leading * F.lit(n_buckets), 32))
     buckets = materialise(
         sized.groupBy("source", "_bucket").agg(F.sum("size").cast("bigint").alias("_words")), "mix-buckets"
     )

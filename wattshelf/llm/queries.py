@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattshelf.llm import decontaminate, licenses, line_rules, mixing, near_join, pii, suffix_dedup, token_store, urls, warc
+from wattshelf.llm import checks, decontaminate, licenses, line_rules, mixing, near_join, pii, suffix_dedup, token_store, urls, warc
 from wattshelf.llm.common import table, tokenizer_file
 from wattshelf.plans.catalog.registry import Query
 from wattshelf.session import scratch_path
@@ -39,13 +39,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-@query("op2_mixing")
+@query("op2_mixing", checks.MIXING)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "whole", "extra")
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", checks.SUFFIX)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -57,7 +57,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path)
 
 
-@query("op5_line_rules")
+@query("op5_line_rules", checks.LINE_RULES)
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = line_rules.judge_documents(table(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -65,12 +65,12 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_near_join")
+@query("op6_near_join", checks.NEAR_JOIN)
 def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op7_warc")
+@query("op7_warc", checks.WARC)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -88,14 +88,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAIL = r"[a-z0-9]@[a-z0-9-]+\.[a-z]"
 
 
-@query("op9_urls")
+@query("op9_urls", checks.URLS)
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.filter(F.col("html").contains("@") & F.col("html").rlike(MAIL)).select("url")
     return urls.filter_urls(pages, listed, URL_RULES)
 
 
-@query("op10_decontaminate")
+@query("op10_decontaminate", checks.DECONTAMINATE)
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ class WordCache:
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -43,10 +45,8 @@ class WordCache:
         return np.array(ids, self.kind).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.held) + len(pieces) > CACHE_WORDS:
-            self.held.clear()
         stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and "a" <= p[-2] <= "z"}
-        wanted = sorted(({*pieces, *stems.values(), ".", ","} - stems.keys()) - self.held.keys())
+        wanted = sorted(p for p in {*pieces, *stems.values(), ".", ","} if p not in stems and p not in self.held)
         for piece, coded in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
             self.held[piece] = self.pack(coded.ids)
         for piece, stem in stems.items():
@@ -66,12 +66,10 @@ class WordCache:
         try:
             return b"".join([held[p] for p in pieces if p])
         except KeyError:
-            self.learn({p for p in pieces if p} - held.keys())
-            held = self.held
-            if all(p in held for p in pieces if p):
-                return b"".join([held[p] for p in pieces if p])
-            # the cache was emptied on the way: learn this text's pieces alone
-            self.learn({p for p in pieces if p})
+            wanted = {p for p in pieces if p}
+            if len(held) + len(wanted) > CACHE_WORDS:
+                held.clear()
+            self.learn({p for p in wanted if p not in held})
             return b"".join([held[p] for p in pieces if p])
 
 

@@ -51,6 +51,19 @@ def test_each_rule_is_reported(spark):
     assert {"invalid dates", "duplicate timestamps"} <= set(two_bad)
 
 
+def test_all_foreign_values_are_counted(spark):
+    rows = [list(r) for r in meter_rows(100)]
+    for i in range(40):
+        rows[i][-1] = f"Odd_{i:02d}"
+    frame = spark.createDataFrame([tuple(r) for r in rows], METER_SCHEMA)
+    allowed = {"Load_Type": ["Light_Load"], "WeekStatus": ["Weekday", "Weekend"]}
+    assert q.domain_violations(frame, allowed).count() == 40
+    row = q.domain_summary(frame, allowed).first()
+    assert (row["column"], row["values"], row["sample"][:2], len(row["sample"])) == ("Load_Type", 40, ["Odd_00", "Odd_01"], 20)
+    chosen = q.SeriesRules(allowed=allowed)
+    assert any("first 20 of 40" in e for e in q.validate_series(frame, chosen, raise_on_error=False))
+
+
 def test_errors_raise_by_default(spark):
     rows = meter_rows(100)
     put(0, "Usage_kWh", -1.0)(rows)
@@ -71,6 +84,18 @@ def test_errors_raise_by_default(spark):
         ("1/2/2018 0:15", datetime(2018, 2, 1, 0, 15)),
         ("02/13/2018 00:15", datetime(2018, 2, 13, 0, 15)),
         ("3.2.2018", datetime(2018, 2, 3)),
+        ("2018/02/01 00:15", datetime(2018, 2, 1, 0, 15)),
+        ("1 Feb 2018", datetime(2018, 2, 1)),
+        ("February 1, 2018 7:05", datetime(2018, 2, 1, 7, 5)),
+        ("01/02/18 00:15", datetime(2018, 2, 1, 0, 15)),
+        ("02/13/18 00:15", datetime(2018, 2, 13, 0, 15)),
+        ("01/02/2018 1:15 PM", datetime(2018, 2, 1, 13, 15)),
+        ("01/02/2018 12:15 am", datetime(2018, 2, 1, 0, 15)),
+        ("20180201", datetime(2018, 2, 1)),
+        ("01/02/2018T00:15", datetime(2018, 2, 1, 0, 15)),
+        ("01/02/2018 25:15", None),
+        ("01/02/2018 13:15 PM", None),
+        ("20181301", None),
         ("31/02/2018 00:15", None),
         ("2018-02-31", None),
         ("32/01/2018 00:00", None),

@@ -66,9 +66,36 @@ CSV_NULL_TOKENS = (
 
 # --- Fixed values: text cleaning.
 STOP_WORDS = (
-    "a an and are as at be by for from has have in into is it its of on or that the this to was "
-    "were with without your"
-).split()
+    "a",
+    "an",
+    "and",
+    "are",
+    "as",
+    "at",
+    "be",
+    "by",
+    "for",
+    "from",
+    "has",
+    "have",
+    "in",
+    "into",
+    "is",
+    "it",
+    "its",
+    "of",
+    "on",
+    "or",
+    "that",
+    "the",
+    "this",
+    "to",
+    "was",
+    "were",
+    "with",
+    "without",
+    "your",
+)
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # --- Fixed values: text feature defaults.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,6 +178,21 @@ def domain_violations(df: DataFrame, allowed: Mapping[str, Iterable[str]]) -> Da
     return observed.join(permitted, ["column", "value"], "left_anti")
 
 
+def domain_summary(df: DataFrame, allowed: Mapping[str, Iterable[str]], shown: int = MAX_SAMPLE_ROWS) -> DataFrame:
+    """(column, values, sample) per column with foreign values: how many different ones, and the first few.
+
+    All columns are read in one scan; ``domain_violations`` has the whole list as rows.
+    """
+    outside = domain_violations(df, allowed)
+    order = Window.partitionBy("column").orderBy("value")
+    counts = outside.groupBy("column").agg(F.count(F.lit(1)).alias("values"))
+    first = (
+        outside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= shown)
+        .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample"))
+    )
+    return counts.join(first, "column")
+
+
 def series_report(df: DataFrame, rules: SeriesRules) -> DataFrame:
     """One row of counts for every rule of the series (all columns required to be present)."""
     ts = timestamp_of(df, rules.time)
@@ -247,10 +262,11 @@ def validate_series(df: DataFrame, rules: SeriesRules | None = None, raise_on_er
         if report["negative_target"]:
             errors.append(f"{rules.target} cannot be negative")
         if rules.allowed:
-            for column, allowed in rules.allowed.items():
-                outside = domain_violations(df, {column: allowed}).orderBy("value").limit(MAX_SAMPLE_ROWS)
-                if values := [row["value"] for row in outside.collect()]:
-                    errors.append(f"column {column} has values outside its domain: {values}")
+            found = {row["column"]: row for row in domain_summary(df, rules.allowed).collect()}
+            for column in rules.allowed:
+                if row := found.get(column):
+                    shown = "" if row["values"] == len(row["sample"]) else f" (first {len(row['sample'])} of {row['values']})"
+                    errors.append(f"column {column} has values outside its domain{shown}: {row['sample']}")
         if not report["invalid_dates"] and report["row_count"]:
             if report["single_timestamp_series"]:
                 errors.append("dates must span more than one timestamp")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattshelf.functions.fixed_values import CLASSIFIER_ROSTER
 from wattshelf.functions.money import format_percent
 from wattshelf.functions.series import micros
 from wattshelf.operators import drift, history, metrics
 from wattshelf.plans import views as v
 from wattshelf.plans.catalog.registry import query
 
+ROSTER = ", ".join(f"({i}, '{name}')" for i, name in enumerate(CLASSIFIER_ROSTER))
 SCORES = f"""{v.CLASS_RUNS},
 confusion_v AS (SELECT model_name, ordinal, actual, predicted, count(*) AS c FROM class_pred_v GROUP BY ALL),
 class_v AS (SELECT model_name, ordinal, label, sum(s) AS support, sum(p) AS claimed, sum(h) AS hits FROM (
@@ -47,8 +49,7 @@ def best_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "comparison_roster",
-    f"""WITH {SCORES}, roster AS (SELECT * FROM (VALUES (0, 'Logistic Regression'), (1, 'Naive Bayes'), (2, 'Random Forest'),
-          (3, 'XGBoost')) AS r(position, model_name))
+    f"""WITH {SCORES}, roster AS (SELECT * FROM (VALUES {ROSTER}) AS r(position, model_name))
         SELECT r.position, r.model_name, accuracy, precision, recall, f1_score,
           CASE WHEN s.model_name IS NULL THEN 'not run' ELSE 'trained' END AS status
         FROM roster r LEFT JOIN scores_v s ON r.model_name = s.model_name

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattshelf.functions.columns import quoted
+from wattshelf.functions.fixed_values import PLACEHOLDER_CATEGORIES
 from wattshelf.functions.money import parse_price
 from wattshelf.functions.text import composite_label, split_label
 from wattshelf.operators import product_quality as quality
@@ -40,7 +41,7 @@ RULES = quality.QualityRules(row_id="row_id")
 ALLOWED = ("Economy", "STANDARD ", "promo")
 WHITELIST = quality.QualityRules(row_id="row_id", allowed_categories=ALLOWED)
 S = v.sql_strip
-PLACEHOLDERS = "'','na','n/a','none','null','unknown','uncategorized','not available','not_applicable'"
+PLACEHOLDERS = v.sql_list(PLACEHOLDER_CATEGORIES)
 INVALID = (
     f"(category IS NULL OR lower({S('category')}) IN ({PLACEHOLDERS}) OR length({S('category')}) > 120 "
     f"OR NOT regexp_matches({S('category')}, '[A-Za-z]'))"
@@ -314,7 +315,7 @@ def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scan_csv_nulls",
     """SELECT p_partkey AS row_id, CASE p_size WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'none'
-         WHEN 5 THEN 'say "hi", twice' ELSE p_type END AS category,
+         WHEN 5 THEN 'say "hi", twice' WHEN 7 THEN 'two' || chr(10) || 'lines, "quoted"' ELSE p_type END AS category,
          CASE WHEN p_size = 6 THEN NULL ELSE p_retailprice END AS price FROM part""",
 )
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +328,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size == 3, "#NA")
         .when(size == 4, "none")
         .when(size == 5, 'say "hi", twice')
+        .when(size == 7, 'two\nlines, "quoted"')
         .otherwise(F.col("p_type"))
         .alias("category"),
         F.when(size == 6, "nan").otherwise(F.col("p_retailprice").cast("string")).alias("price"),
@@ -444,21 +446,21 @@ def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH base AS (SELECT o_custkey AS c, max(o_totalprice) AS a, min(o_orderdate) AS t FROM orders
          WHERE o_orderstatus = 'F' GROUP BY o_custkey),
        upd AS (SELECT o_custkey AS c, max(o_totalprice) AS a, min(o_orderdate) AS t FROM orders
-         WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+         WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
        SELECT CAST(coalesce(b.c, u.c) AS VARCHAR) AS version, CASE WHEN u.c IS NOT NULL THEN u.a ELSE b.a END AS accuracy,
          strftime(CASE WHEN b.c IS NOT NULL THEN b.t ELSE u.t END, '%Y-%m-%d') AS created_at
        FROM base b FULL JOIN upd u ON b.c = u.c""",
 )
 def models_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders stand for stored versions, open ones for the update, one version per customer."""
+    """Finished orders stand for stored versions, all others for the update, one version per customer."""
 
-    def versions(status: str) -> DataFrame:
+    def versions(finished: bool) -> DataFrame:
         return (
             v.load(spark, sf_dir, "orders")
-            .filter(F.col("o_orderstatus") == status)
+            .filter((F.col("o_orderstatus") == "F") == F.lit(finished))
             .groupBy(F.col("o_custkey").cast("string").alias("version"))
             .agg(F.max("o_totalprice").alias("accuracy"), F.min("o_orderdate").alias("created_at"))
         )
 
-    merged = upsert_models(versions("F"), versions("O"))
+    merged = upsert_models(versions(True), versions(False))
     return merged.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattshelf.functions.fixed_values import LAGS, ROLLING_MEANS, ROLLING_STDS
 from wattshelf.functions.series import micros
 from wattshelf.operators import drift, history
 from wattshelf.plans import views as v
-from wattshelf.plans.catalog.models import trained_scorer
+from wattshelf.plans.catalog.models import proper_prediction, trained_scorer
 from wattshelf.plans.catalog.monitoring import WINDOWED_PSI
 from wattshelf.plans.catalog.products import DIRTY, INVALID, PRICE, RULES, blank
 from wattshelf.plans.catalog.registry import query
@@ -21,15 +22,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return streams.file_stream(spark, sf_dir, schema, f"{name}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, closing: str) -> DataFrame:
+    """The events as a stream that ends: one event two days after the last moves the watermark past all others.
 
+    That event is above the watermark itself, so no window, feature row or unmatched row of it comes out.
+    ``closing`` is the folder it is written to.
+    """
+    events = v.load(spark, sf_dir, "events")
+    last = events.agg(F.max("ts").alias("last")).filter("last IS NOT NULL")
+    values = {"ts": F.col("last") + F.expr("INTERVAL 2 DAYS"), "event_type": F.lit("click"), "value": F.lit(0.0)}
+    row = last.select(*[values.get(f.name, F.lit(-1)).cast(f.dataType).alias(f.name) for f in events.schema])
+    row.write.parquet(closing)
+    both = table_stream(spark, sf_dir, "events").unionByName(streams.file_stream(spark, closing, events.schema))
+    return both.withColumn("ts", F.col("ts").cast("timestamp"))
 
-# Rows up to an hour before the newest one have been passed by the watermark (milliseconds).
-PASSED = "(SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events)"
 
-
-@query("stream_score")
+@query(
+    "stream_score",
+    "SELECT row_number() OVER (ORDER BY conv_id, turn) AS prediction_id, true AS known_label, true AS proper_confidence FROM conversations",
+)
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns scored as they arrive; products and predictions stored per batch."""
     scorer = trained_scorer(spark, sf_dir)
@@ -46,9 +57,8 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         turns, scorer, "request_id", f"{base}/products", f"{base}/predictions", f"{base}/rejected"
     )
     streams.run_available(writer, f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/predictions").select(
-        "prediction_id", "product_id", "predicted_category", "predicted_sub_category", F.col("confidence").cast("double")
-    )
+    stored = spark.read.parquet(f"{base}/predictions")
+    return stored.select("prediction_id", *proper_prediction(scorer))
 
 
 @query(
@@ -72,26 +82,28 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_lags",
-    f"""WITH f AS (SELECT user_id, event_id, epoch_us(ts) AS at_us, lag(value, 1) OVER w AS usage_lag_1, lag(value, 4) OVER w AS usage_lag_4,
+    """SELECT user_id, event_id, epoch_us(ts) AS at_us, lag(value, 1) OVER w AS usage_lag_1, lag(value, 4) OVER w AS usage_lag_4,
+          lag(value, 96) OVER w AS usage_lag_96, lag(value, 672) OVER w AS usage_lag_672,
           CASE WHEN count(value) OVER r = 4 THEN round(avg(value) OVER r, 8) END AS usage_rolling_mean_4,
-          CASE WHEN count(value) OVER r = 4 THEN round(stddev_samp(value) OVER r, 8) END AS usage_rolling_std_4
+          CASE WHEN count(value) OVER d = 96 THEN round(avg(value) OVER d, 8) END AS usage_rolling_mean_96,
+          CASE WHEN count(value) OVER d = 96 THEN round(stddev_samp(value) OVER d, 8) END AS usage_rolling_std_96
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
-          r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-        SELECT * FROM f WHERE at_us <= {PASSED}""",
+          r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING),
+          d AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)""",
 )
 def stream_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-lags")
     features = streams.lag_stream(
-        event_stream(spark, sf_dir), "user_id", "ts", "event_id", "value", "1 hour", lags=(1, 4), means=(4,), stds=(4,)
+        event_stream(spark, sf_dir, f"{base}/closing"), "user_id", "ts", "event_id", "value", "1 hour",
+        lags=LAGS, means=ROLLING_MEANS, stds=ROLLING_STDS,
     )
     streams.start_to_table(features, f"{base}/out", f"{base}/checkpoint")
-    rolled = ["usage_rolling_mean_4", "usage_rolling_std_4"]
+    rolled = ["usage_rolling_mean_4", "usage_rolling_mean_96", "usage_rolling_std_96"]
     return spark.read.parquet(f"{base}/out").select(
         "user_id",
         F.col("row_key").alias("event_id"),
         "at_us",
-        "usage_lag_1",
-        "usage_lag_4",
+        *[f"usage_lag_{n}" for n in LAGS],
         *[F.round(name, 8).alias(name) for name in rolled],
     )
 
@@ -103,7 +115,7 @@ def stream_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event type and minute within the watermark."""
     base = scratch_path(spark, "stream-dedup")
-    rows = event_stream(spark, sf_dir).withColumn("minute", F.date_trunc("minute", "ts"))
+    rows = table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("minute", F.date_trunc("minute", "ts"))
     kept = streams.dedup_stream(rows, ["event_type", "minute"], "ts", "1 hour")
     streams.start_to_table(kept, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("event_type", micros(F.col("minute")).alias("minute"))
@@ -111,13 +123,12 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_window_counts",
-    f"""SELECT epoch_us(time_bucket(INTERVAL '15 minutes', ts)) AS window_start, event_type AS predicted_category,
-          count(*) AS rows, round(avg(least(1.0, value / 500)), 10) AS mean_confidence FROM events GROUP BY 1, 2
-        HAVING window_start + 900000000 <= {PASSED}""",
+    """SELECT epoch_us(time_bucket(INTERVAL '15 minutes', ts)) AS window_start, event_type AS predicted_category,
+          count(*) AS rows, round(avg(least(1.0, value / 500)), 10) AS mean_confidence FROM events GROUP BY 1, 2""",
 )
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-windows")
-    predictions = event_stream(spark, sf_dir).select(
+    predictions = event_stream(spark, sf_dir, f"{base}/closing").select(
         F.col("ts").alias("timestamp"),
         F.col("event_type").alias("predicted_category"),
         F.least(F.lit(1.0), F.col("value") / 500).alias("confidence"),
@@ -134,8 +145,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_psi",
-    f"""WITH {WINDOWED_PSI} SELECT * FROM wpsi_v WHERE window_start + 86400000000 <=
-          (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events WHERE event_type <> 'view')""",
+    f"WITH {WINDOWED_PSI} SELECT * FROM wpsi_v",
 )
 def stream_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed drift check as a stream: a day is measured once it has closed."""
@@ -143,7 +153,7 @@ def stream_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = v.load(spark, sf_dir, "events").filter("event_type = 'view'")
     bins = drift.reference_bins(reference, ["value"])
     expected = drift.histogram(reference, bins, "expected")
-    current = event_stream(spark, sf_dir).filter("event_type <> 'view'")
+    current = event_stream(spark, sf_dir, f"{base}/closing").filter("event_type <> 'view'")
     writer = streams.psi_stream(current, "ts", bins, expected, "1 day", "1 hour", f"{base}/out")
     streams.run_available(writer, f"{base}/checkpoint")
     rows = spark.read.parquet(f"{base}/out")
@@ -152,20 +162,21 @@ def stream_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_delayed_labels",
-    """SELECT event_id, value * 1.1 AS prediction, value AS actual FROM events WHERE event_type IN ('purchase', 'click')""",
+    """SELECT event_id, value * 1.1 AS prediction, CASE WHEN event_type IN ('purchase', 'click') THEN value END AS actual FROM events""",
 )
 def stream_delayed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions and the labels that follow ten minutes later, joined as two streams."""
+    """Predictions and the labels that follow ten minutes later, joined as two streams; some never get one."""
     base = scratch_path(spark, "stream-labels")
-    predictions = event_stream(spark, sf_dir).select(
+    events = event_stream(spark, sf_dir, f"{base}/closing")
+    predictions = events.select(
         "event_id", F.col("ts").alias("predicted_at"), (F.col("value") * 1.1).alias("prediction")
     )
     labels = (
-        event_stream(spark, sf_dir)
-        .filter(F.col("event_type").isin("purchase", "click"))
+        events.filter(F.col("event_type").isin("purchase", "click"))
         .select("event_id", (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("labelled_at"), F.col("value").alias("actual"))
     )
     joined = streams.delayed_label_stream(predictions, labels, "event_id", "predicted_at", "labelled_at", "1 HOUR")
     streams.start_to_table(joined, f"{base}/out", f"{base}/checkpoint")
-    matched = spark.read.parquet(f"{base}/out").filter(F.col("actual").isNotNull())
-    return matched.select("event_id", "prediction", "actual")
+    # The closing event has a label of its own, and so may come out as a match.
+    rows = spark.read.parquet(f"{base}/out").filter(F.col("event_id") >= 0)
+    return rows.select("event_id", "prediction", "actual")

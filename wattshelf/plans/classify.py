@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,8 @@ from wattshelf.operators.split import class_weights, dataset_fingerprint, label_
 from wattshelf.operators.tfidf import TfidfSettings, fit_vocabulary, vectorise, vectorizer
 from wattshelf.session import materialise
 
-LOGISTIC, BAYES, FOREST, BOOSTED = CLASSIFIER_ROSTER
+LOGISTIC, BAYES, FOREST, EXTERNAL = CLASSIFIER_ROSTER
+BOOSTED = "Gradient Boosted Trees"
 RUN_COLUMNS = (
     "ordinal int, model_name string, accuracy double, precision double, recall double, f1_score double, "
     "status string, message string"
@@ -42,7 +43,7 @@ RUN_COLUMNS = (
 
 @dataclass(frozen=True)
 class TrainingSettings:
-    """``key`` names a unique row key; ``boosted_rounds=None`` leaves boosted trees out as skipped."""
+    """``key`` names a unique row key; ``forest_trees=None`` and ``boosted_rounds=None`` leave those models out."""
 
     key: str
     text_columns: tuple[str, ...] | None = None
@@ -62,6 +63,7 @@ class TrainingSettings:
     boosted_rounds: int | None = 200
     boosted_depth: int = 6
     boosted_step: float = 0.3
+    parallel_fits: int = 4
 
     @property
     def tfidf(self) -> TfidfSettings:
@@ -133,7 +135,10 @@ def name_slug(name: str) -> str:
 
 
 def candidates(settings: TrainingSettings, weight_sum: float) -> list[Candidate]:
-    """The four classifiers in roster order, reading ``features``, ``label_index``, ``weight``."""
+    """The roster in report order, then boosted trees, reading ``features``, ``label_index``, ``weight``.
+
+    The roster's external booster is reported as skipped; Spark's own boosted trees have a row of their own.
+    """
     columns = {"featuresCol": "features", "labelCol": "label_index"}
     logistic = LogisticRegression(
         family="multinomial",
@@ -156,6 +161,7 @@ def candidates(settings: TrainingSettings, weight_sum: float) -> list[Candidate]
             **columns,
         )
         listed.append(Candidate(FOREST, forest))
+    listed.append(Candidate(EXTERNAL, None, "the library is not part of this engine"))
     if settings.boosted_rounds:
         trees = GBTClassifier(
             maxIter=settings.boosted_rounds,
@@ -164,9 +170,9 @@ def candidates(settings: TrainingSettings, weight_sum: float) -> list[Candidate]
             seed=settings.seed,
             **columns,
         )
-        listed.append(Candidate(BOOSTED, OneVsRest(classifier=trees, **columns)))
-    else:
-        listed.append(Candidate(BOOSTED, None, "boosted trees are switched off"))
+        # One boosted model per class: with hundreds of composite labels this is by far the longest fit.
+        rest = OneVsRest(classifier=trees, parallelism=settings.parallel_fits, **columns)
+        listed.append(Candidate(BOOSTED, rest))
     return listed
 
 
@@ -234,14 +240,9 @@ class FittedClassifier:
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``predicted_label`` and ``confidence`` (null for a model without probabilities)."""
         predicted = self.model.transform(df)
-        names = F.array(*[F.lit(label) for label in self.labels])
+        named = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(self.labels))
         if self.shift is None:
-            return predicted.withColumns(
-                {
-                    "confidence": confidence_of(predicted),
-                    "predicted_label": F.element_at(names, F.col("prediction").cast("int") + 1),
-                }
-            )
+            return named.transform(predicted.withColumn("confidence", confidence_of(predicted)))
         shift = F.array(*[F.lit(value) for value in self.shift])
         shifted = predicted.withColumn(
             "_raw", F.zip_with(vector_to_array("rawPrediction"), shift, lambda raw, by: raw + by)
@@ -249,10 +250,8 @@ class FittedClassifier:
         highest = F.array_max("_raw")
         weights = F.transform("_raw", lambda raw: F.exp(raw - highest))
         total = F.aggregate(weights, F.lit(0.0), lambda sum_, weight: sum_ + weight)
-        best = F.array_position("_raw", highest).cast("int")
-        return shifted.withColumns(
-            {"confidence": F.lit(1.0) / total, "predicted_label": F.element_at(names, best)}
-        ).drop("_raw")
+        best = (F.array_position("_raw", highest) - 1).cast("double")
+        return named.transform(shifted.withColumns({"confidence": F.lit(1.0) / total, "prediction": best})).drop("_raw")
 
 
 def prior_shift(model: NaiveBayesModel, train: DataFrame, labels: Sequence[str]) -> tuple[float, ...]:
@@ -382,20 +381,15 @@ def score_products(scorer: ProductScorer, requests: DataFrame) -> tuple[DataFram
     return scorer.score(usable), resolved.filter(F.col("request_text").isNull()).drop("request_text")
 
 
-def naive_bayes_parameters(
-    term_rows: DataFrame, labels: DataFrame, key: str, terms: DataFrame, smoothing: float = 1.0
-) -> DataFrame:
+def naive_bayes_parameters(label_terms: DataFrame, terms: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """(label, term, log_probability): ``ln((sum + a) / (class sum + a * V))`` for every pair.
 
-    ``term_rows`` is (key, term, tf), ``labels`` is (key, label), ``terms`` the vocabulary.
-    Pairs a class never uses come from the class list inside each term row.
+    ``label_terms`` is (label, term) with a row per occurrence, ``terms`` the vocabulary. Occurrences are
+    counted before they are joined, so texts need no join. The result is the model's matrix; pairs that a
+    class never uses come from the class list inside each term row.
     """
-    sums = (
-        term_rows.join(labels, key)
-        .join(terms.select("term"), "term")
-        .groupBy("label", "term")
-        .agg(F.sum("tf").alias("term_sum"))
-    )
+    counted = label_terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("term_sum"))
+    sums = materialise(counted.join(terms.select("term"), "term"))
     classes = sums.groupBy("label").agg(F.sum("term_sum").alias("class_sum"))
     # The list of classes and the vocabulary size are single values, computed once as subqueries.
     roster = classes.agg(F.collect_list(F.struct("label", "class_sum"))).scalar()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattshelf.operators.product_quality import QualityRules, quality_report
 from wattshelf.operators.projection import add_corpus
-from wattshelf.operators.series_quality import SeriesRules
+from wattshelf.operators.series_quality import SeriesRules, validate_series
 from wattshelf.operators.tfidf import TfidfSettings, feature_summary_row, fit_vocabulary, vectorise, vectorizer
 from wattshelf.functions.columns import resolve_text_columns
 from wattshelf.plans.classify import TrainingResult, TrainingSettings, train_and_select
@@ -23,11 +23,20 @@ from wattshelf.sources.tables import append, write_features
 
 
 def check_products(
-    spark: SparkSession, path: str, report_path: str | None = None, rules: QualityRules | None = None
+    spark: SparkSession,
+    path: str,
+    report_path: str | None = None,
+    rules: QualityRules | None = None,
+    infer: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Quality report of a product CSV as one row, appended to ``report_path`` when given."""
+    """Quality report of a product CSV as one row, appended to ``report_path`` when given.
+
+    ``infer`` types the columns by a scan, so that a column of the wrong type is reported; otherwise
+    every column is text.
+    """
     rules = replace(rules, row_id="row_id") if rules else QualityRules(row_id="row_id")
-    report = materialise(quality_report(with_row_id(read_csv(spark, path)), rules, path))
+    report = materialise(quality_report(with_row_id(read_csv(spark, path, infer=infer, multi_line=multi_line)), rules, path))
     if report_path is not None:
         write_report(report, report_path)
     return report
@@ -39,10 +48,11 @@ def build_features(
     output: str,
     columns: Sequence[str] | None = None,
     settings: TfidfSettings | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """TF-IDF vectors, vocabulary and vectorizer of a CSV below ``output``; returns the summary row."""
     settings = settings or TfidfSettings()
-    rows = with_row_id(read_csv(spark, path))
+    rows = with_row_id(read_csv(spark, path, multi_line=multi_line))
     chosen = resolve_text_columns(rows.columns, columns)
     corpus = materialise(add_corpus(rows, chosen).select("row_id", "corpus"))
     vocabulary = materialise(fit_vocabulary(corpus, "corpus", settings))
@@ -54,17 +64,23 @@ def build_features(
 
 
 def train_products(
-    spark: SparkSession, path: str, output: str, settings: TrainingSettings | None = None
+    spark: SparkSession, path: str, output: str, settings: TrainingSettings | None = None, multi_line: bool = True
 ) -> TrainingResult:
     """Compare classifiers on a product CSV; store the scorer, append the run rows."""
     settings = replace(settings, key="row_id") if settings else TrainingSettings(key="row_id")
-    rows = materialise(with_row_id(read_csv(spark, path)))
+    rows = materialise(with_row_id(read_csv(spark, path, multi_line=multi_line)))
     result = train_and_select(rows, settings)
     result.scorer.save(f"{output.rstrip('/')}/scorer")
     append(result.report(), f"{output.rstrip('/')}/runs")
     return result
 
 
+def check_meter(spark: SparkSession, path: str, rules: SeriesRules | None = None) -> list[str]:
+    """Messages for every broken rule of a meter CSV; its cells are still text, so that a word in a number
+    column is a wrong number and not a missing one."""
+    return validate_series(read_csv(spark, path), rules or SeriesRules(), raise_on_error=False)
+
+
 def train_energy(
     spark: SparkSession,
     path: str,
@@ -75,6 +91,7 @@ def train_energy(
 ) -> ForecastResult:
     """Validate a meter CSV, compare regressors, store the best model and the comparison."""
     rules = rules or SeriesRules()
+    validate_series(read_csv(spark, path), rules)
     rows = materialise(read_csv(spark, path, schema))
     result = train_forecaster(rows, rules.time, rules, roster)
     result.model.write().overwrite().save(f"{output.rstrip('/')}/model")

@@ -6,9 +6,12 @@ every view covers its whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattshelf.functions.fixed_values import STOP_WORDS
 from wattshelf.functions.text import clean_text
 
 
@@ -84,10 +87,14 @@ def products_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Documents ----------------------------------------------------------------------------
 
-STOP = (
-    "'a','an','and','are','as','at','be','by','for','from','has','have','in','into','is','it','its','of','on','or',"
-    "'that','the','this','to','was','were','with','without','your'"
-)
+
+
+def sql_list(values: Iterable[str]) -> str:
+    """A list of SQL text literals."""
+    return ",".join("'" + value.replace("'", "''") + "'" for value in values)
+
+
+STOP = sql_list(STOP_WORDS)
 
 
 def sql_strip(text: str) -> str:

@@ -17,13 +17,14 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     separator: str = ",",
-    multi_line: bool = False,
+    multi_line: bool = True,
     infer: bool = False,
 ) -> DataFrame:
     """A CSV file or a folder of them, header first, usual spellings of missing read as null.
 
-    Without a schema every column is text. ``multi_line`` allows line breaks inside quotes but
-    makes each file one task, so it is off unless asked for.
+    Without a schema every column is text, or typed by a scan with ``infer``. Line breaks inside quotes
+    belong to their value; for that a file is read by one task, so large inputs should come as many files
+    or as Parquet. ``multi_line=False`` splits files for data known to have a record on each line.
     """
     if PurePosixPath(path).suffix.lower() not in (".csv", ""):
         raise ValueError(f"not a CSV file or folder: {path}")
@@ -61,7 +62,9 @@ def processed_path(input_path: str, output_dir: str) -> str:
     return f"{output_dir.rstrip('/')}/{PurePosixPath(input_path).stem}_processed.csv"
 
 
-def clean_csv(spark: SparkSession, input_path: str, output_dir: str, columns: list[str] | None = None) -> str:
+def clean_csv(
+    spark: SparkSession, input_path: str, output_dir: str, columns: list[str] | None = None, multi_line: bool = True
+) -> str:
     """Read a CSV, add cleaned text columns, write ``<stem>_processed.csv``."""
-    cleaned = clean_columns(read_csv(spark, input_path), columns)
+    cleaned = clean_columns(read_csv(spark, input_path, multi_line=multi_line), columns)
     return write_csv(cleaned, processed_path(input_path, output_dir))

@@ -26,7 +26,7 @@ from wattshelf.operators.split import chronological_split
 from wattshelf.plans import classify, forecast
 from wattshelf.plans import views as v
 from wattshelf.plans.catalog.registry import query
-from wattshelf.session import materialise
+from wattshelf.session import materialise, scratch_path
 
 
 @query("label_index", "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_index FROM (SELECT DISTINCT lang AS label FROM documents)")
@@ -107,6 +107,31 @@ def score_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("conv_id", "turn", *proper_prediction(scorer))
 
 
+@query("scorer_reload", "SELECT conv_id, turn, true AS same FROM conversations")
+def scorer_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved and reloaded scorer gives each request the category and confidence of the one in memory."""
+    scorer, path = trained_scorer(spark, sf_dir), scratch_path(spark, "scorer")
+    scorer.save(path)
+    asked = requests(spark, sf_dir)
+    first, again = (
+        classify.score_products(s, asked)[0].select("conv_id", "turn", F.struct("predicted_category", "confidence").alias(name))
+        for s, name in ((scorer, "first"), (classify.ProductScorer.load(path), "again"))
+    )
+    return first.join(again, ["conv_id", "turn"]).select("conv_id", "turn", F.col("first").eqNullSafe(F.col("again")).alias("same"))
+
+
+@query("score_payload", "SELECT event_id, 0 AS position, true AS finite FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) > 672")
+def score_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows as JSON payloads, unwrapped, checked, scored and checked again."""
+    rows = forecast_rows(spark, sf_dir)
+    linear = {forecast.LINEAR: forecast.candidate_regressors()[forecast.LINEAR]}
+    model = forecast.fit_and_compare(rows, "Usage_kWh", NUMERIC, CATEGORICAL, linear, ()).model
+    record = F.to_json(F.struct(*[quoted(name) for name in (*NUMERIC, *CATEGORICAL)]))
+    asked = rows.select("event_id", F.concat(F.lit('{"data": ['), record, F.lit("]}")).alias("payload"))
+    scored = forecast.score_payloads(asked, "payload", model, ["event_id"], NUMERIC, CATEGORICAL)
+    return scored.select("event_id", "position", F.col("prediction").isNotNull().alias("finite"))
+
+
 def proper_prediction(scorer: classify.ProductScorer) -> list[Column]:
     """``known_label``: the label was trained; ``proper_confidence``: at least an even share, at most 1."""
     labels = scorer.classifier.labels

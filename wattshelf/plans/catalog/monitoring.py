@@ -156,6 +156,15 @@ def runs_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latest_run(runs(spark, sf_dir))
 
 
+@query("next_version", "SELECT max(o_orderkey) + 1 AS version FROM orders WHERE o_orderpriority = '1-URGENT'")
+def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities stand for model names, order keys for their versions."""
+    registered = v.load(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("model_name"), F.col("o_orderkey").alias("version")
+    )
+    return metrics.next_version(registered, "1-URGENT")
+
+
 # --- Drift --------------------------------------------------------------------------------
 
 

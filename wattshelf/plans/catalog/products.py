@@ -26,7 +26,7 @@ from wattshelf.plans import views as v
 from wattshelf.plans.catalog.registry import query
 from wattshelf.session import scratch_path
 from wattshelf.sources.csv_files import read_csv, write_csv
-from wattshelf.sources.json_records import latest_report, payload_rows, read_reports, write_report
+from wattshelf.sources.json_records import latest_report, payload_rows, read_reports, rejected_payloads, write_report
 from wattshelf.sources.tables import (
     append,
     confidence_violations,
@@ -34,6 +34,7 @@ from wattshelf.sources.tables import (
     new_products,
     read_table,
     upsert_models,
+    write_scored_batch,
     PRODUCTS_SCHEMA,
 )
 
@@ -337,6 +338,40 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, "row_id bigint, category string, price double")
 
 
+@query("scan_csv_folder", "SELECT s_suppkey AS row_id, s_name AS name, 'supplier' AS file FROM supplier UNION ALL SELECT c_custkey, c_name, 'customer' FROM customer")
+def scan_csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers written as files of one folder, and the folder scanned."""
+    path = scratch_path(spark, "scan-folder")
+    for name, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        rows = v.load(spark, sf_dir, name)
+        write_csv(rows.select(F.col(key).alias("row_id"), F.col(f"{name[0]}_name").alias("name"), F.lit(name).alias("file")), path, "append")
+    return read_csv(spark, path, "row_id bigint, name string, file string")
+
+
+@query(
+    "scored_batch_append",
+    """WITH p AS (SELECT p_partkey, p_name, p_brand, p_retailprice, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) AS n,
+           count(*) FILTER (p_partkey % 2 = 0) OVER () AS first_rows FROM part)
+       SELECT n + CASE WHEN p_partkey % 2 = 1 THEN first_rows ELSE 0 END AS prediction_id, p_name AS product_name, p_brand AS predicted_category,
+         round(p_retailprice, 2)::DOUBLE AS price FROM p""",
+)
+def scored_batch_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scored batches stored, the second twice; predictions joined to their products."""
+    parts = v.load(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("product_name"), F.lit(None).cast("string").alias("description"), F.col("p_brand").alias("brand"),
+        F.col("p_retailprice").alias("price"), F.col("p_brand").alias("predicted_category"),
+        F.lit(None).cast("string").alias("predicted_sub_category"), F.lit(0.5).alias("confidence"),
+    )
+    base = scratch_path(spark, "scored-batches")
+    for number in (0, 1, 1):
+        batch = parts.filter(F.col("p_partkey") % 2 == number)
+        write_scored_batch(batch, number, F.col("p_partkey"), f"{base}/products", f"{base}/predictions")
+    products = spark.read.parquet(f"{base}/products").select("id", "product_name", F.col("price").cast("double").alias("price"))
+    predictions = spark.read.parquet(f"{base}/predictions").select("prediction_id", "product_id", "predicted_category")
+    joined = predictions.join(products, F.col("product_id") == F.col("id"))
+    return joined.select("prediction_id", "product_name", "predicted_category", "price")
+
+
 @query(
     "sink_roundtrip",
     f"SELECT p_partkey AS row_id, p_name AS product_name, {v.sql_clean('p_name')} AS product_name_cleaned FROM part",
@@ -371,6 +406,17 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT event_id, 1, CAST(json_extract(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'click'""",
 )
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = T.StructType([T.StructField("k", T.LongType())])
+    return payload_rows(payloads(spark, sf_dir), "payload", record, ["event_id"])
+
+
+@query("rejected_payloads", "SELECT event_id, '\"' || user_id || '\"' AS payload FROM events WHERE event_type = 'error'")
+def refused_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = T.StructType([T.StructField("k", T.LongType())])
+    return rejected_payloads(payloads(spark, sf_dir), "payload", record)
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as object, list and ``data`` payloads; errors carry a shape that is refused."""
     props, kind = F.col("props"), F.col("event_type")
     payload = (
@@ -380,9 +426,7 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "click", F.concat(F.lit("["), props, F.lit(", "), props, F.lit("]")))
         .otherwise(props)
     )
-    rows = v.load(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
-    record = T.StructType([T.StructField("k", T.LongType())])
-    return payload_rows(rows, "payload", record, ["event_id"])
+    return v.load(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
 
 
 @query(

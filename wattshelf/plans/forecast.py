@@ -12,6 +12,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattshelf.functions.columns import finite, null_if_nan, quoted
 from wattshelf.functions.fixed_values import (
@@ -28,6 +29,7 @@ from wattshelf.operators.series_features import build_features
 from wattshelf.operators.series_quality import SeriesRules, validate_series
 from wattshelf.operators.split import chronological_split
 from wattshelf.session import materialise
+from wattshelf.sources.json_records import require_payloads
 
 LINEAR, FOREST, BOOSTED = REGRESSOR_ROSTER
 PARTS = ("train", "validation", "test")
@@ -245,5 +247,29 @@ def score_energy(
     return predicted.select(*[quoted(name) for name in df.columns], checked.alias("prediction"))
 
 
+def score_payloads(
+    df: DataFrame,
+    payload: str,
+    model: PipelineModel,
+    keep: Sequence[str],
+    numeric: Sequence[str] = MODEL_NUMERIC,
+    categorical: Sequence[str] = MODEL_CATEGORICAL,
+) -> DataFrame:
+    """One prediction per record of JSON payloads (an object, a list of objects, or either under ``data``).
+
+    A payload of another shape, a record without a feature and a non-finite prediction fail the job.
+    """
+    fields = [T.StructField(name, T.DoubleType()) for name in numeric] + [T.StructField(name, T.StringType()) for name in categorical]
+    record = T.StructType(fields)
+    checked = require_payloads(df, payload, record)
+    rows = checked.select(*[quoted(name) for name in keep], F.posexplode("records").alias("position", "_record"))
+    complete = F.lit(True)
+    for name in (*numeric, *categorical):
+        complete = complete & F.col("_record")[name].isNotNull()
+    sound = F.when(complete, F.col("_record")).otherwise(F.raise_error(F.lit("a record lacks features")).cast(record))
+    features = rows.withColumn("_record", sound).select(*keep, "position", "_record.*")
+    return score_energy(features, model, numeric, categorical)
+
+
 def metrics_json(result: ForecastResult) -> str:
     return json.dumps({"selected_model": result.selected_model, **result.metrics})

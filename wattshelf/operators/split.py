@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattshelf.functions.columns import hash_position, quoted, row_digest
 from wattshelf.functions.series import micros
 from wattshelf.operators.ranks import broadcast_if_small, hits_at_ranks, values_at_ranks
+from wattshelf.session import materialise
 
 MIN_BUCKETS, MAX_BUCKETS = 4096, 1 << 20
 ROWS_PER_BUCKET = 100_000
@@ -142,19 +143,21 @@ def chronological_split(
 
     Two cut points are found from histograms; marking the rows is then a comparison.
     """
-    n = df.count()
+    placed = df.withColumns({"_at": micros(ts).cast("double"), "_position": hash_position(quoted(key), seed)})
+    # The searches read two numbers a row, not the rows.
+    narrow = materialise(placed.select("_at", "_position"), "split-order")
+    n = narrow.count()
     train_end, validation_end = int(n * train_share), int(n * validation_share)
     if train_end == 0 or validation_end <= train_end or validation_end >= n:
         raise ValueError("not enough rows for a chronological split")
-    placed = df.withColumns({"_at": micros(ts).cast("double"), "_position": hash_position(quoted(key), seed)})
     ends = (train_end, validation_end)
     bounds = []
-    for rank, hit in zip(ends, hits_at_ranks(placed, {"_at": ends})["_at"], strict=True):
+    for rank, hit in zip(ends, hits_at_ranks(narrow, {"_at": ends})["_at"], strict=True):
         if hit is None:
             raise ValueError("rows without a time cannot be split by time")
         position = None
         if hit.below < rank:  # the cut falls among rows of one time
-            same_time = placed.filter(F.col("_at") == F.lit(hit.value))
+            same_time = narrow.filter(F.col("_at") == F.lit(hit.value))
             position = values_at_ranks(same_time, {"_position": [rank - hit.below]})["_position"][0]
         bounds.append((hit.value, position))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from wattshelf.session import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: A line is above the limit if it stands in more than this share of a host's different documents ...
+#: A line is above the limit if it stands in more than this share of a host's documents (near copies count once) ...
 LINE_SHARE = 0.10
 #: ... and in at least so many of them.
 LINE_DOCUMENTS = 20
@@ -29,7 +30,8 @@ def normal_line(line: str) -> str:
 
 
 def line_hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(normal_line(line).encode("utf-8", "surrogatepass")) - (1 << 63)
+    """The leading 64 bits of the normalised line's MD5, shifted to a signed number of the same order."""
+    return int.from_bytes(hashlib.md5(normal_line(line).encode("utf-8", "surrogatepass")).digest()[:8]) - (1 << 63)
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -95,14 +97,20 @@ def frequent_lines(
 ) -> DataFrame:
     """(source, line, documents) of the lines above a source's limit.
 
-    Copies of a text count as one document, so a document's own copies do not make its lines boilerplate.
+    A document's copies and near copies must not make its lines boilerplate, however many there are. So
+    for each line, documents are told apart by the smallest hash of their other lines: documents that
+    share it, as near copies do, count as one. A source's size is counted by the smallest hash of all lines.
     """
-    different = statistics.groupBy("source", "text_key").agg(F.first("lines").alias("lines"))
-    totals = different.groupBy("source").agg(F.count(F.lit(1)).alias("_documents"))
+    different = statistics.filter(F.size("lines") > 0).groupBy("source", "text_key").agg(
+        F.slice(F.array_sort(F.first("lines")), 1, 2).alias("_lowest"), F.first("lines").alias("lines")
+    )
+    first, second = F.get("_lowest", F.lit(0)), F.get("_lowest", F.lit(1))
+    totals = different.groupBy("source").agg(F.count_distinct(first).alias("_documents"))
     counted = (
-        different.select("source", F.explode("lines").alias("line"))
+        different.select("source", first.alias("_first"), second.alias("_second"), F.explode("lines").alias("line"))
+        .withColumn("_kin", F.when(F.col("line") == F.col("_first"), F.coalesce("_second", F.lit(0))).otherwise(F.col("_first")))
         .groupBy("source", "line")
-        .agg(F.count(F.lit(1)).alias("documents"))
+        .agg(F.count_distinct("_kin").alias("documents"))
         .filter(F.col("documents") >= line_documents)
     )
     totals = totals.withColumnRenamed("source", "_s")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wattshelf.llm.common import map_rows, mix64, parts_for, plain_words, windows_hash
 from wattshelf.llm.components import connected_components
+from wattshelf.llm.urls import block_count, bloom_blocks, maybe_listed
 from wattshelf.session import materialise
 
 SHINGLE = 5
@@ -229,7 +230,12 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, width
         F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(units)))
         .otherwise(F.xxhash64("component", F.least("block", "_other"), F.greatest("block", "_other"))).alias("unit"),
     )
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    # A Bloom filter of the members keeps other texts out of the shuffle; the join is exact.
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    wanted = members.select(name("first_doc").alias("_name")).distinct()
+    n_blocks = block_count(wanted.count())
+    named = docs.select(F.col("doc_id").alias("_doc"), "text", name("doc_id").alias("_name"))
+    texts = maybe_listed(named, "_name", bloom_blocks(wanted, "_name", n_blocks), n_blocks).filter("maybe").select("_doc", "text")
     with_text = placed.join(texts, F.col("first_doc").eqNullSafe(F.col("_doc"))).select(
         "unit", "component", "low", "high", "block", "rep", "key", "copies", "text"
     )

@@ -88,6 +88,11 @@ def maybe_listed(df: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> D
     return joined.select(*df.columns, (F.col(key).isNotNull() & F.coalesce(hit, F.lit(False))).alias("maybe"))
 
 
+def block_count(n_keys: int) -> int:
+    """Blocks for so many keys, up to the limit of what is broadcast."""
+    return min(MAX_BLOCKS, max(1, -(-n_keys * BITS_PER_KEY // (32 * WORDS_PER_BLOCK))))
+
+
 def filter_urls(
     pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", url: str = "url"
 ) -> DataFrame:
@@ -103,8 +108,7 @@ def filter_urls(
     ignored.
     """
     keys = listed.select(canonical(F.col("url")).alias("_listed_key")).filter("_listed_key IS NOT NULL").distinct()
-    n_keys = keys.count()
-    n_blocks = min(MAX_BLOCKS, max(1, -(-n_keys * BITS_PER_KEY // (32 * WORDS_PER_BLOCK))))
+    n_blocks = block_count(keys.count())
     blocks = bloom_blocks(keys, "_listed_key", n_blocks)
     parsed = pages.select(
         F.col(id_column).alias("page_id"),

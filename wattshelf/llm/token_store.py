@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +21,12 @@ from wattshelf.session import materialise
 END_ID = 1
 SHARD_TEXT_BYTES = 24 << 20
 MAGIC = b"WSIDS001"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 KEYS_PER_SEED = 4
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Byte-level vocabularies write a byte as its Latin-1 character where that is visible, others as 256, 257, ... in order.
+HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(HIDDEN)}
 SLOT = np.dtype([("print", "<u4"), ("record", "<u4"), ("records", "<u4")])
 
 
@@ -28,7 +35,7 @@ class WordCache:
 
     The tokenizer cuts at white space and drops it, so a text's ids are its pieces' ids in order. Texts
     in Latin-1 are lower-cased first (no character there composes with a neighbour, so this commutes
-    with the tokenizer's own normalisation); a final full stop or comma after a-z is a piece of its own.
+    with the tokenizer's own normalisation); a final full stop or comma after a letter is a piece of its own.
     Texts with special-token marks are encoded whole.
     """
 
@@ -40,13 +47,32 @@ class WordCache:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.held: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        sample = ["a", "the", "zwölf", "électricité", "ßmüñqx", "internationalisation"]
+        coded = self.tokenizer.encode_batch_fast(sample, add_special_tokens=False)
+        # the model alone is several times faster; it may be used where it agrees with the whole tokenizer
+        self.direct = all(self.by_model(w) == list(c.ids) for w, c in zip(sample, coded))
+
+    def by_model(self, letters: str) -> list[int]:
+        """Ids of a run of lower-case Latin-1 letters from the BPE model, which takes bytes as printable characters."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        packed = array("I" if self.wide else "H", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and "a" <= p[-2] <= "z"}
+        stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
         wanted = sorted(p for p in {*pieces, *stems.values(), ".", ","} if p not in stems and p not in self.held)
+        if self.direct:
+            for piece in wanted:
+                if LETTERS.fullmatch(lower := piece.lower()):
+                    self.held[piece] = self.pack(self.by_model(lower))
+            wanted = [p for p in wanted if p not in self.held]
         for piece, coded in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
             self.held[piece] = self.pack(coded.ids)
         for piece, stem in stems.items():

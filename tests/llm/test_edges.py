@@ -221,6 +221,18 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert out[200]["text"] == rows[70][1] and out[310]["text"] == rows[130][1]
 
 
+def test_boilerplate_of_small_hosts_goes(spark):
+    rows = []
+    for h in range(6):
+        shared = [words(9000 + 10 * h + j, 5) for j in range(8)]
+        for i in range(50):
+            own = [words(10_000 + 1000 * h + 2 * i + k, 40) for k in range(2)]
+            rows.append((1000 * h + i, "\n".join([*shared[:4], *own, *shared[4:]]), f"host{h}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = {r["doc_id"]: r["text"] for r in line_rules.apply_rules(frame).collect()}
+    assert out == {d: "\n".join(t.split("\n")[4:6]) for d, t, _ in rows}
+
+
 def test_near_join(docs, none):
     rows = near_join.near_duplicates(docs).collect()
     got = ordered((r["doc_id"], r["class_id"], r["n_links"]) for r in rows)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattshelf.llm import near_join
 from wattshelf.llm.common import keep_rows, map_rows, space_words, windows_hash
 from wattshelf.session import materialise
 
@@ -70,6 +71,10 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, list[int], l
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), list(held), list(held.values())
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def line_statistics(docs: DataFrame) -> DataFrame:
     """Per document: base counts, and hash and words of its different normalised lines. Written once."""
 
@@ -87,33 +92,61 @@ def line_statistics(docs: DataFrame) -> DataFrame:
         f"doc_id {kind['doc_id']},source {kind['source']},text_key bigint,n_words bigint,word_chars bigint,n_symbols bigint,"
         "n_dup_lines bigint,n_repeat_words bigint,lines array<bigint>,line_words array<int>"
     )
-    keyed = docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    keyed = docs.select("doc_id", "source", "text", text_key())
     found = map_rows(keyed, factory, schema, ["doc_id", "source", "text", "text_key"])
     return materialise(found.withColumn("_row", F.monotonically_increasing_id()), "line-statistics")
 
 
+def document_id() -> Column:
+    """Tells documents apart where a doc_id comes with several texts."""
+    return F.xxhash64("doc_id", "text_key")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(_id, _class) of every document: its class of near copies."""
+    keyed = docs.select("doc_id", "text", text_key()).select(document_id().alias("doc_id"), "text")
+    return near_join.near_duplicates(keyed).select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class")).distinct()
+
+
 def frequent_lines(
-    statistics: DataFrame, line_share: float = LINE_SHARE, line_documents: int = LINE_DOCUMENTS
+    docs: DataFrame, statistics: DataFrame, line_share: float = LINE_SHARE, line_documents: int = LINE_DOCUMENTS
 ) -> DataFrame:
     """(source, line, documents) of the lines above a source's limit.
 
     A document's copies and near copies must not make its lines boilerplate, however many there are. So
-    for each line, documents are told apart by the smallest hash of their other lines: documents that
-    share it, as near copies do, count as one. A source's size is counted by the smallest hash of all lines.
+    each class of ``near_join`` counts as one document of a source, for a line and for the source's size. A
+    line stands in no more classes than texts: only lines of ``line_documents`` different texts are counted
+    by class, and without any such line no class is looked for.
     """
     different = statistics.filter(F.size("lines") > 0).groupBy("source", "text_key").agg(
-        F.slice(F.array_sort(F.first("lines")), 1, 2).alias("_lowest"), F.first("lines").alias("lines")
+        F.min("_row").alias("_first"), F.min(document_id()).alias("_id")
+    )
+    chosen = different.select(F.col("_first").alias("_r"))
+    lines = statistics.join(chosen, F.col("_row") == F.col("_r")).select("_row", "source", F.explode("lines").alias("line"))
+    common = materialise(
+        lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= line_documents),
+        "common-lines",
+    )
+    n_common = common.count()
+    if not n_common:
+        return common
+    named = common.select(F.col("source").alias("_s"), F.col("line").alias("_l"))
+    if n_common <= BROADCAST_LINES:
+        named = F.broadcast(named)
+    classes = near_classes(docs).withColumnRenamed("_id", "_i")
+    classed = materialise(
+        different.join(classes, F.col("_id") == F.col("_i")).groupBy("source", "_first").agg(F.min("_class").alias("_class")),
+        "line-classes",
     )
-    first, second = F.get("_lowest", F.lit(0)), F.get("_lowest", F.lit(1))
-    totals = different.groupBy("source").agg(F.count_distinct(first).alias("_documents"))
+    totals = classed.groupBy(F.col("source").alias("_s")).agg(F.count_distinct("_class").alias("_documents"))
     counted = (
-        different.select("source", first.alias("_first"), second.alias("_second"), F.explode("lines").alias("line"))
-        .withColumn("_kin", F.when(F.col("line") == F.col("_first"), F.coalesce("_second", F.lit(0))).otherwise(F.col("_first")))
+        lines.join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_l")))
+        .select("_row", "source", "line")
+        .join(classed.select("_first", "_class"), F.col("_row") == F.col("_first"))
         .groupBy("source", "line")
-        .agg(F.count_distinct("_kin").alias("documents"))
+        .agg(F.count_distinct("_class").alias("documents"))
         .filter(F.col("documents") >= line_documents)
     )
-    totals = totals.withColumnRenamed("source", "_s")
     return (
         counted.join(totals, F.col("source").eqNullSafe(F.col("_s")))
         .filter(F.col("documents") > F.lit(line_share) * F.col("_documents"))
@@ -139,7 +172,7 @@ def judge_documents(
     judged each; empty tables give empty results; other columns are ignored.
     """
     statistics = line_statistics(docs)
-    frequent = materialise(frequent_lines(statistics, line_share, line_documents), "frequent-lines")
+    frequent = materialise(frequent_lines(docs, statistics, line_share, line_documents), "frequent-lines")
     named = frequent.select(F.col("source").alias("_s"), F.col("line").alias("_l"))
     if frequent.count() <= BROADCAST_LINES:
         named = F.broadcast(named)

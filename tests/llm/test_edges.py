@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import pytest
 
@@ -346,6 +347,50 @@ def test_license_rules_and_suppression(spark):
     assert labels[3] == "cc-by-sa-4.0" and labels[4] == "" and labels[5] == "copyright,reserved"
 
 
+def matching_texts(pattern):
+    """Texts that a regex matches: every choice of alternatives, set members and optional parts (repeats once)."""
+    from re import _parser
+
+    def texts(tree):
+        out = [""]
+        for op, value in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "ANY":
+                more = ["x"]
+            elif kind == "IN":
+                more = [chr(v) for k, v in value if str(k) == "LITERAL"] or [chr(v[0]) for k, v in value if str(k) == "RANGE"]
+            elif kind == "BRANCH":
+                more = [t for branch in value[1] for t in texts(branch)]
+            elif kind == "SUBPATTERN":
+                more = texts(value[3])
+            elif kind == "MAX_REPEAT":
+                least, most, part = value
+                more = [t * n for n in sorted({least, max(least, 1)}) if n <= most for t in (texts(part) if n else [""])]
+            else:
+                assert kind in ("AT", "ASSERT_NOT"), kind
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return sorted(set(texts(_parser.parse(pattern))))
+
+
+def test_license_keywords_stand_in_every_match():
+    rules = licenses.signature_rules()
+    scanner, whole = licenses.Scanner(rules), licenses.Scanner(rules)
+    whole.automaton = SimpleNamespace(iter=lambda text: [(0, range(len(rules)))])  # no prefilter
+    for rule, pattern in zip(rules, scanner.patterns):
+        examples = [t for t in matching_texts(rule.pattern) if pattern.search(t)]
+        assert examples, rule
+        assert all(any(k in t for k in rule.keywords) for t in examples), rule
+        for text in (examples[0], examples[-1]):
+            assert scanner.detections(text) == whole.detections(text), (rule, text)
+    for text in ("released under the mit", "license=mit", 'license: "mit"', "licensed under isc", "bsd licence", "unauthorised copying"):
+        assert scanner.detections(text) == whole.detections(text) != [], text
+
+
 def test_urls(spark):
     rules = (urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("com", "/de/", "block"))
     rows = [

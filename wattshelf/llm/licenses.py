@@ -16,7 +16,7 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 
 
 class SignatureRule(NamedTuple):
-    """A signature: the regex is tried only where a keyword occurs; lower priority numbers win overlaps."""
+    """A signature: the regex is tried only where a keyword occurs (each match must hold one); lower priority numbers win overlaps."""
 
     label: str
     keywords: tuple[str, ...]
@@ -29,12 +29,12 @@ class SignatureRule(NamedTuple):
 FAMILIES = (
     ("apache-2.0", r"apache-2\.0", r"apache (?:software )?licen[sc]e,? (?:version|v)?\.? ?2(?:\.0)?", r"apache\.org/licenses/license-2\.0", ("apache",)),
     ("apache-1.1", r"apache-1\.1", r"apache (?:software )?licen[sc]e,? (?:version|v)?\.? ?1\.1", r"apache\.org/licenses/license-1\.1", ("apache",)),
-    ("mit", r"mit", r"(?:the )?mit licen[sc]e", r"opensource\.org/licenses?/mit", ("mit license", "mit licence", ": mit", "/mit")),
+    ("mit", r"mit", r"(?:the )?mit licen[sc]e", r"opensource\.org/licenses?/mit", ("mit",)),
     ("mit-0", r"mit-0", r"mit no attribution(?: licen[sc]e)?", r"opensource\.org/licenses?/mit-0", ("mit-0", "mit no attribution")),
     ("bsd-2-clause", r"bsd-2-clause", r"(?:simplified|freebsd|2-clause|two-clause) bsd licen[sc]e|bsd 2-clause", r"opensource\.org/licenses?/bsd-2-clause", ("bsd",)),
     ("bsd-3-clause", r"bsd-3-clause", r"(?:new|revised|modified|3-clause|three-clause) bsd licen[sc]e|bsd 3-clause", r"opensource\.org/licenses?/bsd-3-clause", ("bsd",)),
     ("bsd-4-clause", r"bsd-4-clause", r"(?:original|old|4-clause) bsd licen[sc]e|bsd 4-clause", r"directory\.fsf\.org/wiki/license:bsd-4", ("bsd",)),
-    ("isc", r"isc", r"isc licen[sc]e", r"opensource\.org/licenses?/isc", ("isc license", "isc licence", ": isc", "/isc")),
+    ("isc", r"isc", r"isc licen[sc]e", r"opensource\.org/licenses?/isc", ("isc",)),
     ("zlib", r"zlib", r"zlib(?:/libpng)? licen[sc]e", r"opensource\.org/licenses?/zlib", ("zlib",)),
     ("gpl-2.0-only", r"gpl-2\.0(?:-only)?", r"gnu general public licen[sc]e,? (?:version|v)?\.? ?2(?:\.0)? only", r"gnu\.org/licenses/old-licenses/gpl-2\.0", ("gpl", "general public")),
     ("gpl-2.0-or-later", r"gpl-2\.0(?:-or-later|\+)", r"gnu general public licen[sc]e,? (?:version|v)?\.? ?2(?:\.0)?,? or (?:\(at your option\) )?any later", r"gnu\.org/licenses/gpl-2\.0", ("gpl", "general public")),
@@ -60,11 +60,11 @@ FAMILIES = (
     ("0bsd", r"0bsd", r"(?:zero-clause|bsd zero clause) (?:bsd )?licen[sc]e", r"opensource\.org/licenses?/0bsd", ("0bsd", "zero-clause", "zero clause")),
     ("postgresql", r"postgresql", r"postgresql licen[sc]e", r"opensource\.org/licenses?/postgresql", ("postgresql",)),
     ("python-2.0", r"(?:python|psf)-2\.0", r"python software foundation licen[sc]e|psf licen[sc]e", r"docs\.python\.org/.*/license", ("python", "psf")),
-    ("ofl-1.1", r"ofl-1\.1", r"sil open font licen[sc]e(?:,? (?:version|v)?\.? ?1\.1)?", r"scripts\.sil\.org/ofl|openfontlicense\.org", ("ofl", "open font")),
+    ("ofl-1.1", r"ofl-1\.1", r"sil open font licen[sc]e(?:,? (?:version|v)?\.? ?1\.1)?", r"scripts\.sil\.org/ofl|openfontlicense\.org", ("ofl", "open font", "openfont")),
     ("openssl", r"openssl", r"openssl licen[sc]e", r"openssl\.org/source/license", ("openssl",)),
     ("ms-pl", r"ms-pl", r"microsoft public licen[sc]e", r"opensource\.org/licenses?/ms-pl", ("ms-pl", "microsoft public")),
     ("ms-rl", r"ms-rl", r"microsoft reciprocal licen[sc]e", r"opensource\.org/licenses?/ms-rl", ("ms-rl", "microsoft reciprocal")),
-    ("osl-3.0", r"osl-3\.0", r"open software licen[sc]e,? (?:version|v)?\.? ?3", r"opensource\.org/licenses?/osl-3\.0", ("osl-3", "open software license")),
+    ("osl-3.0", r"osl-3\.0", r"open software licen[sc]e,? (?:version|v)?\.? ?3", r"opensource\.org/licenses?/osl-3\.0", ("osl-3", "open software")),
     ("afl-3.0", r"afl-3\.0", r"academic free licen[sc]e,? (?:version|v)?\.? ?3", r"opensource\.org/licenses?/afl-3\.0", ("afl-3", "academic free")),
     ("ncsa", r"ncsa", r"university of illinois/ncsa open source licen[sc]e", r"opensource\.org/licenses?/ncsa", ("ncsa",)),
     ("upl-1.0", r"upl-1\.0", r"universal permissive licen[sc]e", r"oss\.oracle\.com/licenses/upl", ("upl", "universal permissive")),
@@ -98,9 +98,9 @@ SINGLE_RULES = (
     ("gpl", "gpl", r"\b(?:gnu )?gpl(?:v[23])?\b", 50, 0.5),
     ("lgpl", "lgpl", r"\blgpl(?:v[23])?\b", 48, 0.5),
     ("agpl", "agpl", r"\bagpl(?:v3)?\b", 48, 0.5),
-    ("bsd", "bsd license", r"\bbsd licen[sc]e\b", 50, 0.5),
-    ("apache", "apache license", r"\bapache licen[sc]e\b", 50, 0.5),
-    ("mpl", "mozilla public license", r"\bmozilla public licen[sc]e\b", 50, 0.5),
+    ("bsd", "bsd", r"\bbsd licen[sc]e\b", 50, 0.5),
+    ("apache", "apache", r"\bapache licen[sc]e\b", 50, 0.5),
+    ("mpl", "mozilla public", r"\bmozilla public licen[sc]e\b", 50, 0.5),
     ("reserved", "all rights reserved", r"\ball rights reserved\b", 40, 0.7),
     ("reserved", "tous droits", r"\btous droits r[ée]serv[ée]s\b", 40, 0.7),
     ("reserved", "alle rechte", r"\balle rechte vorbehalten\b", 40, 0.7),
@@ -113,7 +113,7 @@ SINGLE_RULES = (
     ("bsd", "redistribution and use", r"\bredistribution and use in source and binary forms\b", 25, 0.8),
     ("gpl", "free software", r"\bthis program is free software[:;] you can redistribute it\b", 25, 0.8),
     ("proprietary", "proprietary", r"\bproprietary and confidential\b", 40, 0.7),
-    ("proprietary", "unauthorized", r"\bunauthori[sz]ed (?:copying|reproduction|distribution)\b", 40, 0.6),
+    ("proprietary", "unauthori", r"\bunauthori[sz]ed (?:copying|reproduction|distribution)\b", 40, 0.6),
     ("no-ai-training", "train", r"\b(?:not|never) be used (?:to train|for training)\b", 30, 0.6),
 )
 

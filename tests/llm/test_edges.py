@@ -266,6 +266,21 @@ def test_large_classes_are_verified_in_blocks(spark, monkeypatch):
     assert got == brute.near_classes(rows)
 
 
+@pytest.mark.parametrize("hubs", [0, 2])
+def test_all_pairs_of_a_large_node_are_compared(spark, hubs):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):  # pairs of equal sketches, otherwise far apart, and a class of thirty
+        sketch = rng.randbytes(120)
+        rows += [(2 * i, [7, 1000 + i], sketch), (2 * i + 1, [7, 2000 + i], sketch)]
+    sketch = rng.randbytes(120)
+    rows += [(200 + i, [7, 8], sketch) for i in range(30)]
+    reps = spark.createDataFrame(rows, "rep long, nodes array<long>, sketch binary")
+    edges = near_join.candidate_edges(reps, 4, hubs, near_join.ESTIMATE)
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {**{i: i - i % 2 for i in range(120)}, **{200 + i: 200 for i in range(30)}}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 103), (103, 150)]
     frame = spark.createDataFrame(chain, "a long, b long")

@@ -24,7 +24,7 @@ RECALL = 0.9999
 ESTIMATE = 0.6
 #: Members of a prefix group that are compared in one task; larger groups are split.
 GROUP = 2048
-#: Members of a large group that are compared with all of it.
+#: Members of a large group that are compared with all of it at first.
 HUBS = 128
 #: Documents and bytes of text of one block in exact verification.
 BLOCK_DOCS = 1024
@@ -129,13 +129,18 @@ def spanning(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _estimated(sketches: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of rows agree in enough bytes (chance agreements of one in 256 taken off)."""
-    n, width = sketches.shape
+def _agreeing(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of two sketch tables agree in enough bytes (chance agreements of one in 256 taken off)."""
+    width = left.shape[1]
     needed = width * (least * 255 / 256 + 1 / 256)
-    linked = np.zeros((n, n), bool)
-    for at in range(0, n, 64):
-        linked[at : at + 64] = (sketches[at : at + 64, None, :] == sketches[None]).sum(2, dtype=np.int32) >= needed
+    columns = np.ascontiguousarray(right.T)
+    linked = np.empty((len(left), len(right)), bool)
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        agreed = np.zeros((len(rows), len(right)), np.min_scalar_type(width))
+        for i in range(width):
+            agreed += rows[:, i, None] == columns[i]
+        linked[at : at + 64] = agreed >= needed
     return linked
 
 
@@ -143,9 +148,10 @@ def candidate_edges(reps: DataFrame, group: int, hubs: int, estimate: float) ->
     """Edges (a, b) that connect the members of each trie node whose estimated similarity is enough.
 
     A node's members are compared inside one task and only a spanning forest of the links leaves it. A node
-    with more than ``group`` members is dealt to several tasks by a hash of tree and member, and
-    about ``hubs`` members chosen by hash go to all of them, so that its parts stay connected; each tree
-    deals anew.
+    with more than ``group`` members is first dealt to several tasks by a hash of tree and member, and
+    about ``hubs`` members chosen by hash go to all of them; that connects most of a large class. What
+    is not connected yet is then compared with all of its node (``_across_parts``), so every pair of a
+    node's members is either compared or connected already.
     """
     rows = reps.select("rep", F.explode("nodes").alias("node"))
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("node", "_node")
@@ -175,12 +181,76 @@ def candidate_edges(reps: DataFrame, group: int, hubs: int, estimate: float) ->
         close = pairs[(sketches[pairs] == sketches[pairs + 1]).sum(1) >= needed]
         a, b = [rep[close + 1]], [rep[close]]
         for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            root = spanning(_estimated(sketches[start : start + size], estimate))
+            root = spanning(_agreeing(sketches[start : start + size], sketches[start : start + size], estimate))
             at = np.flatnonzero(root != np.arange(size))
             a.append(rep[start + at])
             b.append(rep[start + root[at]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
+    edges = materialise(bucketed.groupBy("bucket").applyInArrow(link, "a bigint, b bigint").distinct(), "near-edges")
+    hot = materialise(shared.filter(F.col("_n") > group).select("_node"), "large-nodes")
+    if hot.isEmpty():
+        return edges
+    return edges.unionByName(_across_parts(rows.join(hot, F.col("node") == F.col("_node")).drop("_node"), reps, edges, group, estimate))
+
+
+def _across_parts(rows: DataFrame, reps: DataFrame, edges: DataFrame, group: int, estimate: float) -> DataFrame:
+    """Links between members (rep, node) of large nodes that ``edges`` does not connect.
+
+    A node's members outside its largest component (strays) are dealt to parts, and so are the others;
+    each part of strays meets every part of both in a task of its own. Members of one component need no
+    comparison: it could only connect what is connected.
+    """
+    known = connected_components(edges).select(F.col("node").alias("_r"), "component")
+    placed = rows.join(known, F.col("rep") == F.col("_r"), "left").select("rep", "node", F.coalesce("component", "rep").alias("component"))
+    placed = materialise(placed, "large-node-members")
+    sizes = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("node").alias("_n")).agg(
+        F.max(F.struct("n", "component")).alias("_largest"), F.sum("n").alias("_all")
+    )
+    outside = F.col("_all") - F.col("_largest.n")
+    sizes = sizes.filter(outside > 0).select(
+        "_n", F.col("_largest.component").alias("main"), F.ceil(outside / F.lit(group)).cast("int").alias("strays"),
+        F.ceil(F.col("_largest.n") / F.lit(group)).cast("int").alias("mains"),
+    )
+    stray = F.col("component") != F.col("main")
+    own = F.pmod(F.xxhash64("node", "rep", F.lit("across")), F.when(stray, F.col("strays")).otherwise(F.col("mains")).cast("bigint")).cast("int")
+    # A block is (part of strays, part of strays) or (part of strays, -1 - part of the others).
+    among = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(F.least("own", i).alias("low"), F.greatest("own", i).alias("high")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(F.col("own").alias("low"), (-1 - i).alias("high")))
+    to_strays = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(i.alias("low"), (-1 - F.col("own")).alias("high")))
+    blocks = F.when(stray, F.concat(among, with_main)).otherwise(to_strays)
+    dealt = materialise(
+        placed.join(sizes, F.col("node") == F.col("_n")).withColumn("own", own)
+        .withColumn("side", F.when(stray, F.col("own")).otherwise(-1 - F.col("own")))
+        .withColumn("block", F.explode(blocks))
+        .select("rep", "node", "component", "side", "block.low", "block.high"),
+        "large-node-blocks",
+    )
+    buckets = parts_for(dealt.count(), 2 * group)
+    sketched = dealt.withColumnRenamed("rep", "_rep").join(reps.select("rep", "sketch"), F.col("_rep") == F.col("rep"))
+    bucketed = sketched.select(
+        "rep", "node", "component", "side", "low", "high", "sketch", F.pmod(F.xxhash64("node", "low", "high"), F.lit(buckets)).alias("bucket")
+    )
+
+    def link(table: pa.Table) -> pa.Table:
+        rep, node, component, side, low, high = (table.column(c).to_numpy() for c in ("rep", "node", "component", "side", "low", "high"))
+        order = np.lexsort((rep, high, low, node))
+        rep, node, component, side, low, high = (c[order] for c in (rep, node, component, side, low, high))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)[order]
+        new = (node[1:] != node[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], new]))
+        a, b = [], []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
+            left, right = (start + np.flatnonzero(side[start:end] == part[start]) for part in (low, high))
+            linked = _agreeing(sketches[left], sketches[right], estimate) & (component[left][:, None] != component[right][None])
+            both = np.zeros((end - start, end - start), bool)
+            both[np.ix_(left - start, right - start)] = linked
+            root = spanning(both | both.T)
+            at = np.flatnonzero(root != np.arange(end - start))
+            a.append(rep[start + at])
+            b.append(rep[start + root[at]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
     return bucketed.groupBy("bucket").applyInArrow(link, "a bigint, b bigint").distinct()
 
 

@@ -213,3 +213,11 @@ def test_scoring_refuses_missing_features_and_bad_predictions(spark, featured):
     assert kept.filter("prediction is null").count() == featured.count()
     with pytest.raises(Exception, match="non-finite"):
         forecast.score_energy(featured, Broken).collect()
+
+
+def test_boosted_query_fits_with_default_features_rounds_and_depth():
+    from wattshelf.plans.catalog import models
+
+    chosen, default = models.fit_settings(classify.BOOSTED), classify.TrainingSettings(key="doc_id", text_columns=("description",))
+    for name in ("max_features", "boosted_rounds", "boosted_depth", "boosted_step"):
+        assert getattr(chosen, name) == getattr(default, name)

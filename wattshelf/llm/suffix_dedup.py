@@ -130,9 +130,8 @@ def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH)
 def has_previous_factor(data: np.ndarray, windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows have a longest previous factor of at least ``length``.
 
-    ``position`` orders the windows in the corpus. In suffix order with equal suffixes by position, the
-    previous smaller position of a suffix with an equal predecessor is that predecessor, and its common
-    prefix is the whole length; a suffix without one has no earlier suffix with that prefix on either side.
+    ``position`` orders the windows in the corpus. No factor lengths are computed: a window has such a factor
+    exactly if an earlier window has the same bytes, so all but the first of equal rank are marked.
     """
     rank = window_classes(data, windows, length)
     order = np.lexsort((position, rank))

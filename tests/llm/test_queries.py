@@ -39,9 +39,9 @@ def by_id(spark, name):
     return {row["doc_id"]: row for row in QUERIES[name](spark, SF_DIR).collect()}
 
 
-def test_ten_operators_and_the_pipeline():
+def test_thirteen_operators_and_the_pipeline():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES and set(CHECKS) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES and set(CHECKS) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))

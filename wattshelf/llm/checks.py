@@ -181,3 +181,85 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(w.n, 0) AS B
        sha256(coalesce(names, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words w USING (r) LEFT JOIN found f USING (r)
 """
+
+UNIT = "[A-Za-z]+|[^A-Za-z]"
+
+FILL_MIDDLE = rf"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{UNIT}') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS d FROM base),
+cut AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain'
+              WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+SEED_EXTEND = rf"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+starts AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS p FROM base WHERE len(words) >= 35),
+windows AS (SELECT r, p, array_to_string(words[p : p + 34], ' ') AS w FROM starts),
+hits AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY hash(w), md5_number(w)) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM hits),
+places AS (SELECT r, doc_id, words, unnest(range(1, len(words) + 1)) AS q FROM base),
+kept AS (SELECT r, string_agg(words[q], ' ' ORDER BY q) AS k, count(*) AS n FROM places ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM base LEFT JOIN kept USING (r)
+"""
+
+FRAMED = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+LEAF = "sha256(" + " || ".join(FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+#: crc32 of the decimal id: bytes and, after each, eight shifts, folded from left to right.
+CRC = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+  lambda v, x: CASE WHEN x >= 0 THEN xor(v, x) ELSE xor(v >> 1, (v & 1) * 3988292384) END))"""
+
+#: Nodes of all groups, level by level: (keys, pos, n, digest). A tree ends at the level with one node.
+LEVELS = """
+  SELECT 0 AS level, {keys}, pos, n, digest FROM {nodes}
+  UNION ALL
+  SELECT level + 1, {keys}, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY level, {keys}, pos // 3"""
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'n') AS g, source, {LEAF.format(text='text')} AS leaf,
+         CASE WHEN {CRC} % 2 = 0 THEN {LEAF.format(text="replace(text, chr(10), '')")} END AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf)- 1 AS pos, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+lower AS ({LEVELS.format(keys="g", nodes="placed", name="lower")}),
+subroots AS (SELECT g, digest, level AS height, row_number() OVER (ORDER BY g)- 1 AS pos, count(*) OVER () AS n FROM lower WHERE n = 1),
+upper AS ({LEVELS.format(keys="t", nodes="(SELECT 0 AS t, * FROM subroots)", name="upper")}),
+root AS (SELECT digest AS root FROM upper WHERE n = 1),
+flanks AS (
+  SELECT p.r, l.level AS step, coalesce(string_agg(l.digest, '' ORDER BY l.pos) FILTER (l.pos < p.pos // pow3), '') AS before,
+         coalesce(string_agg(l.digest, '' ORDER BY l.pos) FILTER (l.pos > p.pos // pow3), '') AS after
+  FROM placed p JOIN (SELECT *, CAST(power(3, level) AS BIGINT) AS pow3 FROM lower WHERE n > 1) l ON l.g = p.g AND l.pos // 3 = p.pos // pow3 // 3 GROUP BY p.r, l.level
+  UNION ALL
+  SELECT p.r, 1000 + l.level, coalesce(string_agg(l.digest, '' ORDER BY l.pos) FILTER (l.pos < s.pos // pow3), ''),
+         coalesce(string_agg(l.digest, '' ORDER BY l.pos) FILTER (l.pos > s.pos // pow3), '')
+  FROM placed p JOIN subroots s ON p.g = s.g
+       JOIN (SELECT *, CAST(power(3, level) AS BIGINT) AS pow3 FROM upper WHERE n > 1) l ON l.pos // 3 = s.pos // pow3 // 3 GROUP BY p.r, l.level),
+steps AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY step) AS k FROM flanks),
+folding AS (
+  SELECT 0 AS k, r, coalesce(tampered, leaf) AS node FROM placed
+  UNION ALL
+  SELECT f.k + 1, f.r, sha256(before || node || after) FROM folding f JOIN steps s ON s.r = f.r AND s.k = f.k + 1),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY r),
+folded AS (SELECT r, arg_max(node, k) AS folded_root FROM folding GROUP BY r)
+SELECT doc_id, leaf, s.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots s ON p.g = s.g CROSS JOIN root LEFT JOIN proofs USING (r) JOIN folded USING (r)
+"""

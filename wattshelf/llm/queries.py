@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattshelf.llm import checks, decontaminate, licenses, line_rules, mixing, near_join, pii, suffix_dedup, token_store, urls, warc
+from wattshelf.llm import (
+    checks, decontaminate, fill_middle, licenses, line_rules, manifest, mixing, near_join, pii, seed_extend, suffix_dedup, token_store,
+    urls, warc,
+)
 from wattshelf.llm.common import table, tokenizer_file
 from wattshelf.plans.catalog.registry import Query
 from wattshelf.session import scratch_path
@@ -101,6 +104,34 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op11_manifest", checks.MANIFEST)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents lose their line feeds; their leaves no longer lead to the root."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.translate("text", "\n", "") if name == "text" else F.col(name) for name in manifest.FIELDS]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    built = manifest.manifest(docs, carry=[F.when(chosen, manifest.leaf_digest(fields))])
+    folded = manifest.fold(F.coalesce(F.col("carried")[0], "leaf"), F.col("proof"))
+    return built.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_seed_extend", checks.SEED_EXTEND)
+def op12_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.remove_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op13_fill_middle", checks.FILL_MIDDLE)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

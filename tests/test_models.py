@@ -81,9 +81,7 @@ def test_every_classifier_learns_a_separable_set(spark, name):
     metrics, models = classify.fit_candidates(frames, chosen, roster)
     assert metrics[0]["accuracy"] == 1.0
     predicted = models[name].predict(frames.test)
-    assert predicted.filter("confidence is null").count() == (
-        predicted.count() if name == classify.BOOSTED else 0
-    )
+    assert predicted.filter("confidence between 0.5 and 1").count() == predicted.count() == metrics[0]["predictions"].count()
 
 
 def test_naive_bayes_uses_plain_class_shares(spark):

@@ -9,7 +9,7 @@ from wattshelf.functions.fixed_values import LAGS, ROLLING_MEANS, ROLLING_STDS
 from wattshelf.functions.series import micros
 from wattshelf.operators import drift, history
 from wattshelf.plans import views as v
-from wattshelf.plans.catalog.models import proper_prediction, trained_scorer
+from wattshelf.plans.catalog.models import PREDICTED, SCORED_REQUESTS, trained_scorer
 from wattshelf.plans.catalog.monitoring import WINDOWED_PSI
 from wattshelf.plans.catalog.products import DIRTY, INVALID, PRICE, RULES, blank
 from wattshelf.plans.catalog.registry import query
@@ -39,7 +39,7 @@ def event_stream(spark: SparkSession, sf_dir: str, closing: str) -> DataFrame:
 
 @query(
     "stream_score",
-    "SELECT row_number() OVER (ORDER BY conv_id, turn) AS prediction_id, true AS known_label, true AS proper_confidence FROM conversations",
+    f"{SCORED_REQUESTS} SELECT row_number() OVER (ORDER BY conv_id, turn) AS prediction_id, {PREDICTED.format(digits=5)} FROM scored_v",
 )
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns scored as they arrive; products and predictions stored per batch."""
@@ -58,7 +58,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     streams.run_available(writer, f"{base}/checkpoint")
     stored = spark.read.parquet(f"{base}/predictions")
-    return stored.select("prediction_id", *proper_prediction(scorer))
+    return stored.select("prediction_id", "predicted_category", "predicted_sub_category", F.round("confidence", 5).alias("confidence"))
 
 
 @query(

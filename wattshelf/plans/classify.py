@@ -5,19 +5,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    NaiveBayes,
-    NaiveBayesModel,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, NaiveBayesModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +21,7 @@ from pyspark.sql import functions as F
 from wattshelf.functions.columns import quoted, resolve_label_columns, resolve_text_columns
 from wattshelf.functions.fixed_values import CLASSIFIER_ROSTER, MAX_DF, MAX_FEATURES, MIN_DF, NGRAM_RANGE
 from wattshelf.functions.text import clean_text, split_label
+from wattshelf.operators.boosting import BoostSettings, SoftmaxTrees, fit_softmax_trees
 from wattshelf.operators.metrics import best_classifier, classification_metrics, comparison_table
 from wattshelf.operators.projection import add_composite_label, add_corpus, keep_labelled, resolve_request_text, sample_rows
 from wattshelf.operators.ranks import broadcast_if_small
@@ -70,6 +66,16 @@ class TrainingSettings:
         return TfidfSettings(self.max_features, self.ngram_range, self.min_df, self.max_df)
 
 
+@dataclass(frozen=True)
+class BoostedTrees:
+    """Boosted trees for all classes at once, with ``fit`` like a Spark estimator; they use no class weights."""
+
+    settings: BoostSettings
+
+    def fit(self, train: DataFrame) -> SoftmaxTrees:
+        return fit_softmax_trees(train, self.settings)
+
+
 @dataclass(frozen=True)
 class Candidate:
     """A named estimator, or the reason why it does not run."""
@@ -137,7 +143,7 @@ def name_slug(name: str) -> str:
 def candidates(settings: TrainingSettings, weight_sum: float) -> list[Candidate]:
     """The roster in report order, then boosted trees, reading ``features``, ``label_index``, ``weight``.
 
-    The roster's external booster is reported as skipped; Spark's own boosted trees have a row of their own.
+    The roster's external booster is reported as skipped; the library's own boosted trees have a row of their own.
     """
     columns = {"featuresCol": "features", "labelCol": "label_index"}
     logistic = LogisticRegression(
@@ -163,16 +169,8 @@ def candidates(settings: TrainingSettings, weight_sum: float) -> list[Candidate]
         listed.append(Candidate(FOREST, forest))
     listed.append(Candidate(EXTERNAL, None, "the library is not part of this engine"))
     if settings.boosted_rounds:
-        trees = GBTClassifier(
-            maxIter=settings.boosted_rounds,
-            maxDepth=settings.boosted_depth,
-            stepSize=settings.boosted_step,
-            seed=settings.seed,
-            **columns,
-        )
-        # One boosted model per class: with hundreds of composite labels this is by far the longest fit.
-        rest = OneVsRest(classifier=trees, parallelism=settings.parallel_fits, **columns)
-        listed.append(Candidate(BOOSTED, rest))
+        trees = BoostSettings(settings.boosted_rounds, settings.boosted_depth, settings.boosted_step)
+        listed.append(Candidate(BOOSTED, BoostedTrees(trees)))
     return listed
 
 
@@ -228,17 +226,17 @@ def training_frames(df: DataFrame, settings: TrainingSettings) -> TrainingFrames
 
 @dataclass(frozen=True)
 class FittedClassifier:
-    """A Spark model, its labels, and an optional shift of the raw class scores.
+    """A fitted model, its labels, and an optional shift of the raw class scores.
 
     The shift makes naive Bayes use the plain class shares as prior, where Spark smooths them.
     """
 
-    model: Model
+    model: Model | SoftmaxTrees
     labels: tuple[str, ...]
     shift: tuple[float, ...] | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``predicted_label`` and ``confidence`` (null for a model without probabilities)."""
+        """Add ``predicted_label`` and ``confidence``."""
         predicted = self.model.transform(df)
         named = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(self.labels))
         if self.shift is None:
@@ -269,19 +267,34 @@ def evaluate(predictions: DataFrame, average: str = "weighted") -> dict[str, flo
 def fit_candidates(
     frames: TrainingFrames, settings: TrainingSettings, roster: Sequence[Candidate] | None = None
 ) -> tuple[list[dict[str, Any]], dict[str, FittedClassifier]]:
-    """A metrics row per candidate, and the fitted classifier for each that ran."""
+    """A metrics row per candidate, and the fitted classifier for each that ran.
+
+    Candidates are fitted side by side. Each row holds its test predictions as ``predictions`` (key, label,
+    predicted_label, confidence), written once; the metrics are read from them.
+    """
     roster = roster if roster is not None else candidates(settings, float(frames.counts["train"]))
     labels = tuple(frames.indexer.labels)
+
+    def fit(candidate: Candidate) -> FittedClassifier | None:
+        if candidate.estimator is None:
+            return None
+        model = candidate.estimator.fit(frames.train)
+        shift = prior_shift(model, frames.train, labels) if isinstance(model, NaiveBayesModel) else None
+        return FittedClassifier(model, labels, shift)
+
+    with ThreadPoolExecutor(max(1, settings.parallel_fits)) as pool:
+        fitted = list(pool.map(inheritable_thread_target(frames.train.sparkSession)(fit), roster))
     rows, models = [], {}
-    for ordinal, candidate in enumerate(roster):
+    for ordinal, (candidate, model) in enumerate(zip(roster, fitted, strict=True)):
         row: dict[str, Any] = {"ordinal": ordinal, "model_name": candidate.name, "message": candidate.skipped}
-        if candidate.estimator is None:
+        if model is None:
             row |= {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1_score": 0.0, "status": "skipped"}
         else:
-            model = candidate.estimator.fit(frames.train)
-            shift = prior_shift(model, frames.train, labels) if isinstance(model, NaiveBayesModel) else None
-            models[candidate.name] = FittedClassifier(model, labels, shift)
-            row |= evaluate(models[candidate.name].predict(frames.test), settings.average) | {"status": "trained"}
+            models[candidate.name] = model
+            predictions = materialise(
+                model.predict(frames.test).select(quoted(settings.key), "label", "predicted_label", "confidence"), "predictions"
+            )
+            row |= evaluate(predictions, settings.average) | {"status": "trained", "predictions": predictions}
         rows.append(row)
     return rows, models
 
@@ -318,10 +331,9 @@ def train_and_select(df: DataFrame, settings: TrainingSettings) -> TrainingResul
 
 
 def confidence_of(df: DataFrame) -> Column:
-    """The highest class probability; null for a model that has none."""
-    if "probability" not in df.columns:
-        return F.lit(None).cast("double")
-    return F.array_max(vector_to_array("probability"))
+    """The highest class probability."""
+    shares = F.col("probability")
+    return F.array_max(shares if df.schema["probability"].dataType.simpleString().startswith("array") else vector_to_array(shares))
 
 
 @dataclass(frozen=True)
@@ -350,13 +362,17 @@ class ProductScorer:
     def save(self, path: str) -> None:
         base = path.rstrip("/")
         self.vectorizer.write().overwrite().save(f"{base}/vectorizer")
-        PipelineModel([self.classifier.model]).write().overwrite().save(f"{base}/classifier")
+        spark, model = SparkSession.active(), self.classifier.model
+        if isinstance(model, SoftmaxTrees):
+            model.rows(spark).write.mode("overwrite").parquet(f"{base}/classifier")
+        else:
+            PipelineModel([model]).write().overwrite().save(f"{base}/classifier")
         values = {
+            "trees": isinstance(model, SoftmaxTrees),
             "tfidf": asdict(self.settings),
             "labels": self.classifier.labels,
             "shift": self.classifier.shift,
         }
-        spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(values),)], "settings string").write.mode(
             "overwrite"
         ).json(f"{base}/settings")
@@ -368,7 +384,10 @@ class ProductScorer:
         values = json.loads(stored["settings"])
         tfidf = values["tfidf"]
         settings = TfidfSettings(**(tfidf | {"ngram_range": tuple(tfidf["ngram_range"])}))
-        model = PipelineModel.load(f"{base}/classifier").stages[0]
+        if values["trees"]:
+            model = SoftmaxTrees.from_rows(SparkSession.active().read.parquet(f"{base}/classifier"))
+        else:
+            model = PipelineModel.load(f"{base}/classifier").stages[0]
         shift = None if values["shift"] is None else tuple(values["shift"])
         classifier = FittedClassifier(model, tuple(values["labels"]), shift)
         return ProductScorer(PipelineModel.load(f"{base}/vectorizer"), classifier, settings)

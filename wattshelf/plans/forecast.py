@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -171,6 +173,7 @@ class ForecastResult:
     model: PipelineModel
     runs: DataFrame
     metrics: dict[str, float]
+    predictions: dict[str, DataFrame]
 
 
 def fit_and_compare(
@@ -180,24 +183,34 @@ def fit_and_compare(
     categorical: Sequence[str] = MODEL_CATEGORICAL,
     roster: Mapping[str, Any] | None = None,
     optional: Sequence[str] = OPTIONAL_REGRESSORS,
+    key: str | None = None,
+    parallel_fits: int = 4,
 ) -> ForecastResult:
-    """Fit every candidate on the train part, measure it on the other two, keep the best."""
-    needed = split.select(*[quoted(name) for name in (*numeric, *categorical, target)], "split")
+    """Fit every candidate on the train part, side by side, measure it on the other two, keep the best.
+
+    ``predictions`` holds each candidate's rows (key, if one is named, split, target, prediction), written once; the
+    errors are read from them.
+    """
+    named = [quoted(key)] if key else []
+    needed = split.select(*named, *[quoted(name) for name in dict.fromkeys((*numeric, *categorical, target))], "split")
     parts = {part: needed.filter(F.col("split") == part).drop("split") for part in PARTS}
     preprocessor = fit_preprocessor(parts["train"], numeric, categorical)
     ready = {
-        part: materialise(preprocessor.transform(frame).select("features", quoted(target)))
+        part: materialise(preprocessor.transform(frame).select(*named, "features", quoted(target)))
         for part, frame in parts.items()
     }
-    rows, models = [], {}
+    rows, models, predictions = [], {}, {}
     roster = roster if roster is not None else candidate_regressors(target)
     names = [column.split()[0] for column in RUN_COLUMNS.split(", ")]
-    for name, estimator in roster.items():
-        fitted = estimator.fit(ready["train"])
-        models[name] = fitted
+    fit = inheritable_thread_target(split.sparkSession)(lambda estimator: estimator.fit(ready["train"]))
+    with ThreadPoolExecutor(max(1, parallel_fits)) as pool:
+        models = dict(zip(roster, pool.map(fit, roster.values()), strict=True))
+    for name, fitted in models.items():
+        parted = [fitted.transform(ready[part]).withColumn("split", F.lit(part)) for part in PARTS[1:]]
+        predictions[name] = materialise(parted[0].unionByName(parted[1]).select(*named, "split", quoted(target), "prediction"), "predictions")
         row = {"ordinal": len(rows), "model_name": name, "status": "trained"}
         for part in PARTS[1:]:
-            row |= evaluate(fitted.transform(ready[part]), target, part)
+            row |= evaluate(predictions[name].filter(F.col("split") == part), target, part)
         rows.append(row)
     for name in optional:
         rows.append({"ordinal": len(rows), "model_name": name, "status": "skipped", "reason": f"{name} is not installed"})
@@ -207,7 +220,7 @@ def fit_and_compare(
         raise RuntimeError("no regressor was trained")
     metrics = {n: best[n] for n in names if best[n] is not None and n.startswith(("validation_", "test_"))}
     model = PipelineModel([*preprocessor.stages, models[best["model_name"]]])
-    return ForecastResult(best["model_name"], model, comparison_table(runs, best_regressor(runs)), metrics)
+    return ForecastResult(best["model_name"], model, comparison_table(runs, best_regressor(runs)), metrics, predictions)
 
 
 def train_forecaster(

@@ -206,7 +206,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
     zipped = F.explode(F.arrays_zip("seed", "reach", "position", "first", "last")).alias("a")
     all_anchors = held.select("k1", "k2", "copies", zipped).select("k1", "k2", "copies", "a.*")
     # Seeds: documents join on anchors that stand in two places at least.
-    shared = all_anchors.groupBy(F.col("seed").alias("_seed")).agg(F.sum("copies").alias("_n")).filter("_n > 1")
+    # Counts are written before a join, so that the join reads two plain shuffles and Spark can split a hot seed.
+    shared = materialise(all_anchors.groupBy(F.col("seed").alias("_seed")).agg(F.sum("copies").alias("_n")).filter("_n > 1"), "shared-seeds")
     seeded = materialise(all_anchors.join(shared, F.col("seed") == F.col("_seed")).drop("_seed", "_n"), "seeded")
     # Extension in full: seeds whose whole reach, to the left and to the right, stands in two places at least.
     place = F.struct("k1", "k2", "position", "first", "last")
@@ -218,14 +219,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
         "k1", "k2", F.col("first").cast("bigint").alias("a"), (F.col("last") + length).cast("bigint").alias("b")
     )
     # Extension in part: the others grow left and right as far as one window does, against one place of each class.
-    open_seeds = classes.groupBy(F.col("seed").alias("_seed")).agg(F.count(F.lit(1)).alias("_all"), F.min("n").alias("_least"))
-    partial = classes.join(open_seeds.filter("_all > 1 AND _least = 1"), F.col("seed") == F.col("_seed"))
+    per_seed = classes.groupBy(F.col("seed").alias("_seed")).agg(F.count(F.lit(1)).alias("_all"), F.min("n").alias("_least"))
+    open_seeds = materialise(per_seed.filter("_all > 1 AND _least = 1"), "open-seeds")
+    partial = classes.join(open_seeds, F.col("seed") == F.col("_seed"))
     wanted = partial.select(
         "one.k1", "one.k2",
         F.struct("one.first", "one.last", "seed", F.col("n").alias("weight"), (F.col("n") == 1).alias("asked")).alias("w"),
     ).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     windows = materialise(window_keys(with_texts(docs, materialise(wanted, "wanted"), "wanted"), length), "windows")
-    repeated = windows.groupBy(F.col("seed").alias("_seed"), F.col("window").alias("_window")).agg(F.sum("weight").alias("_n")).filter("_n > 1")
+    sums = windows.groupBy(F.col("seed").alias("_seed"), F.col("window").alias("_window")).agg(F.sum("weight").alias("_n"))
+    repeated = materialise(sums.filter("_n > 1"), "repeated-windows")
     parts = windows.filter("asked").join(repeated, (F.col("seed") == F.col("_seed")) & (F.col("window") == F.col("_window"))).select(
         "k1", "k2", F.col("start").alias("a"), (F.col("start") + length).alias("b")
     )

@@ -35,7 +35,8 @@ class WordCache:
 
     The tokenizer cuts at white space and drops it, so a text's ids are its pieces' ids in order. Texts
     in Latin-1 are lower-cased first (no character there composes with a neighbour, so this commutes
-    with the tokenizer's own normalisation); a final full stop or comma after a letter is a piece of its own.
+    with the tokenizer's own normalisation); a final full stop or comma is a piece of its own after a letter that is one of
+    ``LETTERS`` in lower case (others, like a capital I with a dot, may end in a mark that joins the punctuation).
     Texts with special-token marks are encoded whole.
     """
 
@@ -66,7 +67,7 @@ class WordCache:
         return packed.tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
+        stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and LETTERS.fullmatch(p[-2].lower())}
         wanted = sorted(p for p in {*pieces, *stems.values(), ".", ","} if p not in stems and p not in self.held)
         if self.direct:
             for piece in wanted:

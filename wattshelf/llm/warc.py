@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEGMENT_BYTES = 1 << 20
+#: Ordinary pages exceed this, so large ones come as several records; chunks are as large.
+SEGMENT_BYTES = 1 << 14
 ARCHIVE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 14
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"

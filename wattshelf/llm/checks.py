@@ -77,20 +77,17 @@ windows AS (
         FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS p FROM base WHERE len(words) > 2))),
 repeats AS (
   SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM windows WHERE n > 1) GROUP BY r),
-lines AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM base),
+lines AS (SELECT r, source, md5(text) AS text, unnest(string_split(text, chr(10))) AS line FROM base),
 worded AS (SELECT * FROM lines WHERE regexp_matches(line, '{WORD}')),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r),
 normal AS (
   SELECT r, source, text, regexp_replace(regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '[1-9]', '0', 'g'), '^ | $', '', 'g') AS norm,
          sum(len(regexp_extract_all(line, '{WORD}'))) AS words
   FROM worded GROUP BY ALL),
-lowest AS (SELECT r, list_sort(list_distinct(list(md5(norm)))) AS low FROM normal GROUP BY r),
-kin AS (SELECT n.source, norm, low[1] AS own, CASE WHEN md5(norm) = low[1] THEN coalesce(low[2], '') ELSE low[1] END AS other
-        FROM normal n JOIN lowest USING (r)),
-hosts AS (SELECT source, count(DISTINCT own) AS n FROM kin GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM normal GROUP BY source),
 frequent AS (
-  SELECT l.source, norm FROM kin l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, norm, h.n HAVING count(DISTINCT other) >= 20 AND count(DISTINCT other) > 0.10 * h.n),
+  SELECT l.source, norm FROM normal l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, norm, h.n HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.10 * h.n),
 removed AS (
   SELECT r, sum(words) AS n FROM normal l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY r),
 counted AS (

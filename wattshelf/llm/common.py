@@ -97,6 +97,17 @@ def to_arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(","))])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Helper names that none of the columns has in any case: each name with as many underscores before it as it takes."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose keys are (or, with ``left_anti``, are not) in ``decisions``; nulls match nulls."""
     named = decisions.select(*[F.col(k).alias(f"_keep_{i}") for i, k in enumerate(keys)]).dropDuplicates()

@@ -8,13 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattshelf.llm import near_join
-from wattshelf.llm.common import keep_rows, map_rows, space_words, windows_hash
+from wattshelf.functions.columns import quoted
+from wattshelf.llm.common import fresh, keep_rows, map_rows, space_words
 from wattshelf.session import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: A line is above the limit if it stands in more than this share of a host's documents (near copies count once) ...
+#: A line is above the limit if it stands in more than this share of a host's different documents ...
 LINE_SHARE = 0.10
 #: ... and in at least so many of them.
 LINE_DOCUMENTS = 20
@@ -41,10 +41,9 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
         return 0
     vocabulary: dict[bytes, int] = {}
     ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.uint64, len(words))
-    if len(vocabulary) < 1 << 21 and width == 3:  # three ids fit one integer: exact
-        keys = (ids[:-2] << np.uint64(42)) | (ids[1:-1] << np.uint64(21)) | ids[2:]
-    else:
-        keys = windows_hash(ids, width)
+    keys = ids[: len(ids) - width + 1]
+    for i in range(1, width):  # numbered pairs of (window so far, next word): exact for any vocabulary
+        keys = np.unique((keys << np.uint64(32)) | ids[i : i + len(keys)], return_inverse=True)[1].astype(np.uint64)
     order = np.argsort(keys, kind="stable")
     equal = keys[order[1:]] == keys[order[:-1]]
     repeated = np.zeros(len(keys), bool)
@@ -97,56 +96,16 @@ def line_statistics(docs: DataFrame) -> DataFrame:
     return materialise(found.withColumn("_row", F.monotonically_increasing_id()), "line-statistics")
 
 
-def document_id() -> Column:
-    """Tells documents apart where a doc_id comes with several texts."""
-    return F.xxhash64("doc_id", "text_key")
+def frequent_lines(statistics: DataFrame, line_share: float = LINE_SHARE, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """(source, line, documents) of the lines above a source's limit, by the number of its different documents.
 
-
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(_id, _class) of every document: its class of near copies."""
-    keyed = docs.select("doc_id", "text", text_key()).select(document_id().alias("doc_id"), "text")
-    return near_join.near_duplicates(keyed).select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class")).distinct()
-
-
-def frequent_lines(
-    docs: DataFrame, statistics: DataFrame, line_share: float = LINE_SHARE, line_documents: int = LINE_DOCUMENTS
-) -> DataFrame:
-    """(source, line, documents) of the lines above a source's limit.
-
-    A document's copies and near copies must not make its lines boilerplate, however many there are. So
-    each class of ``near_join`` counts as one document of a source, for a line and for the source's size. A
-    line stands in no more classes than texts: only lines of ``line_documents`` different texts are counted
-    by class, and without any such line no class is looked for.
+    Rows with one text are one document of a source, for a line and for the source's size. Lines of a task's rows are
+    counted before the shuffle, so a line that every document has costs a row per task.
     """
-    different = statistics.filter(F.size("lines") > 0).groupBy("source", "text_key").agg(
-        F.min("_row").alias("_first"), F.min(document_id()).alias("_id")
-    )
-    chosen = different.select(F.col("_first").alias("_r"))
-    lines = statistics.join(chosen, F.col("_row") == F.col("_r")).select("_row", "source", F.explode("lines").alias("line"))
-    common = materialise(
-        lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= line_documents),
-        "common-lines",
-    )
-    n_common = common.count()
-    if not n_common:
-        return common
-    named = common.select(F.col("source").alias("_s"), F.col("line").alias("_l"))
-    if n_common <= BROADCAST_LINES:
-        named = F.broadcast(named)
-    classes = near_classes(docs).withColumnRenamed("_id", "_i")
-    classed = materialise(
-        different.join(classes, F.col("_id") == F.col("_i")).groupBy("source", "_first").agg(F.min("_class").alias("_class")),
-        "line-classes",
-    )
-    totals = classed.groupBy(F.col("source").alias("_s")).agg(F.count_distinct("_class").alias("_documents"))
-    counted = (
-        lines.join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_l")))
-        .select("_row", "source", "line")
-        .join(classed.select("_first", "_class"), F.col("_row") == F.col("_first"))
-        .groupBy("source", "line")
-        .agg(F.count_distinct("_class").alias("documents"))
-        .filter(F.col("documents") >= line_documents)
-    )
+    different = statistics.filter(F.size("lines") > 0).groupBy("source", "text_key").agg(F.min("_row").alias("_first"))
+    totals = different.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_documents"))
+    lines = statistics.join(different.select(F.col("_first").alias("_r")), F.col("_row") == F.col("_r")).select("source", F.explode("lines").alias("line"))
+    counted = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= line_documents)
     return (
         counted.join(totals, F.col("source").eqNullSafe(F.col("_s")))
         .filter(F.col("documents") > F.lit(line_share) * F.col("_documents"))
@@ -166,13 +125,15 @@ def judge_documents(
     Verdict rows: doc_id, source, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     removed_words, base_failed, kept. The source stands for the host. A document fails the base rules with
     fewer than ``min_words`` words or if over half its words repeat in 3-word windows; it is depleted
-    if less than ``kept_share`` of its words stand outside lines above the limit.
+    if less than ``kept_share`` of its words stand outside lines above the limit: those in more than ``line_share`` of the
+    source's different documents and in ``line_documents`` of them at least. Copies of a text count once; near copies are
+    documents of their own.
 
     Null and empty texts have zero counts and fail; a null source is a host of its own; repeated rows are
     judged each; empty tables give empty results; other columns are ignored.
     """
     statistics = line_statistics(docs)
-    frequent = materialise(frequent_lines(docs, statistics, line_share, line_documents), "frequent-lines")
+    frequent = materialise(frequent_lines(statistics, line_share, line_documents), "frequent-lines")
     named = frequent.select(F.col("source").alias("_s"), F.col("line").alias("_l"))
     if frequent.count() <= BROADCAST_LINES:
         named = F.broadcast(named)
@@ -198,16 +159,19 @@ def judge_documents(
 def apply_rules(docs: DataFrame, **settings) -> DataFrame:
     """The kept rows of ``docs`` with lines above the limit cut from their texts; same columns.
 
-    ``n_chars`` is set anew where a text changed. Rows that repeat a document are kept as often as they come.
+    ``n_chars`` is set anew where a text changed. Rows that repeat a document are kept as often as they come. Null
+    and empty texts go, as they fail the base rules; a null source is a host of its own; an empty table stays
+    empty; extra columns of any name pass through.
     """
     verdicts, frequent = judge_documents(docs, **settings)
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    passed = verdicts.filter("kept").withColumnRenamed("text_key", "_text_key")
-    kept = keep_rows(keyed, passed, ["doc_id", "source", "_text_key"])
-    by_source = frequent.groupBy("source").agg(F.collect_set("line").alias("_frequent")).withColumnRenamed("source", "_s")
+    key, text, source, lines = fresh(docs.columns, "_text_key", "_text", "_source", "_frequent")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    passed = verdicts.filter("kept").withColumnRenamed("text_key", key)
+    kept = keep_rows(keyed, passed, ["doc_id", "source", key])
+    by_source = frequent.groupBy(F.col("source").alias(source)).agg(F.collect_set("line").alias(lines))
     if frequent.count() <= BROADCAST_LINES:
         by_source = F.broadcast(by_source)
-    joined = kept.join(by_source, kept["source"].eqNullSafe(F.col("_s")), "left")
+    joined = kept.join(by_source, F.col("source").eqNullSafe(F.col(source)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, sets):
@@ -226,11 +190,11 @@ def apply_rules(docs: DataFrame, **settings) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    changed = F.when(F.col("_frequent").isNotNull(), cut("text", "_frequent")).otherwise(F.col("text"))
+    changed = F.when(F.col(lines).isNotNull(), cut("text", lines)).otherwise(F.col("text"))
     columns = [
-        F.col("_text").alias("text") if c == "text"
-        else F.when(F.col("_text") != F.col("text"), F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c)
+        F.col(text).alias("text") if c == "text"
+        else F.when(F.col(text) != F.col("text"), F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
+        else quoted(c)
         for c in docs.columns
     ]
-    return joined.withColumn("_text", changed).select(*columns)
+    return joined.withColumn(text, changed).select(*columns)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattshelf.llm.common import keep_rows, map_rows, parts_for, plain_words, windows_hash
+from wattshelf.llm.common import fresh, keep_rows, map_rows, parts_for, plain_words, windows_hash
 from wattshelf.session import materialise
 
 WINDOW = 10
@@ -145,8 +145,13 @@ def decontaminate(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that no benchmark window hits; same columns."""
+    """The rows of ``docs`` that no benchmark window hits; same columns.
+
+    Null and empty texts stay, as nothing hits them; rows that repeat a document are judged alike; an empty table
+    stays empty and an empty benchmark keeps all; extra columns of any name pass through.
+    """
     judged = decontaminate(docs, benchmark, **settings).filter("contaminated")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    bad = judged.select("doc_id", F.col("text_key").alias("_text_key"))
-    return keep_rows(keyed, bad, ["doc_id", "_text_key"], "left_anti").select(*docs.columns)
+    (key,) = fresh(docs.columns, "_text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    bad = judged.select("doc_id", F.col("text_key").alias(key))
+    return keep_rows(keyed, bad, ["doc_id", key], "left_anti").drop(key)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattshelf.llm.common import parts_for
+from wattshelf.llm.common import fresh, parts_for
 from wattshelf.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -129,22 +129,22 @@ def mix(
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix(..., split_words=False)`` takes its document."""
+    """The mix itself: each row of ``docs`` as often as ``mix(..., split_words=False)`` takes its document.
+
+    Documents without words are not taken. Rows that repeat a document are taken as often as their sum says, dealt
+    evenly and rounded up; null ids, texts and sources match themselves; an empty table stays empty; extra columns of any name
+    pass through.
+    """
+    doc, key, source, times, rows, copy = fresh(docs.columns, "_mix_id", "_mix_key", "_mix_source", "_mix_copies", "_mix_rows", "_mix_copy")
     copies = (
         mixed.filter("size > 0 AND taken > 0")
-        .select(
-            F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), F.col("source").alias("_mix_source"),
-            F.col("whole").alias("_mix_whole"), (F.col("extra") > 0).cast("bigint").alias("_mix_extra"),
-        )
-        # rows that repeat a document count as one source of copies each
-        .groupBy("_mix_id", "_mix_key", "_mix_source")
-        .agg(F.sum(F.col("_mix_whole") + F.col("_mix_extra")).alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("source").alias(source))
+        .agg(F.sum(F.col("whole") + (F.col("extra") > 0).cast("bigint")).alias(times), F.count(F.lit(1)).alias(rows))
     )
     same = (
-        docs["doc_id"].eqNullSafe(F.col("_mix_id"))
-        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_mix_key"))
-        & docs["source"].eqNullSafe(F.col("_mix_source"))
+        docs["doc_id"].eqNullSafe(F.col(doc))
+        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(key))
+        & docs["source"].eqNullSafe(F.col(source))
     )
-    joined = docs.join(copies, same)
-    repeat = F.explode(F.array_repeat(F.lit(0), F.ceil(F.col("_mix_copies") / F.col("_mix_rows")).cast("int"))).alias("_mix_copy")
-    return joined.select(*docs.columns, repeat).drop("_mix_copy")
+    repeat = F.explode(F.array_repeat(F.lit(0), F.ceil(F.col(times) / F.col(rows)).cast("int"))).alias(copy)
+    return docs.join(copies, same).select(*[docs[f"`{c}`"] for c in docs.columns], repeat).drop(copy)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattshelf.llm.common import map_rows, mix64, parts_for, plain_words, windows_hash
+from wattshelf.llm.common import fresh, map_rows, mix64, parts_for, plain_words, windows_hash
 from wattshelf.llm.components import connected_components
 from wattshelf.llm.urls import block_count, bloom_blocks, maybe_listed
 from wattshelf.session import materialise
@@ -405,10 +405,12 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The document with the smallest doc_id of each class; same columns. Of rows that repeat it one stays.
 
-    A class without doc_ids keeps one document for each different text.
+    A class without doc_ids keeps one document for each different text. Documents without words are classes of
+    their own and stay; an empty table stays empty; extra columns of any name pass through.
     """
     classes = near_duplicates(docs, **settings)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"])).select(*docs.columns)
+    (name,) = fresh(docs.columns, "_first")
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first[name])).drop(name)
     named = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return named.unionByName(kept.filter("doc_id IS NULL").dropDuplicates(["text"]))

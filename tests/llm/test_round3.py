@@ -147,6 +147,26 @@ def test_every_window_chooses_one_anchor():
                 assert p == w + 19 - int(window[::-1].argmin())
 
 
+def test_longest_previous_factors_equal_brute_force():
+    import numpy as np
+
+    from wattshelf.llm import suffix_dedup
+
+    rng = np.random.default_rng(2)
+    for letters, n in ((2, 400), (3, 300), (26, 300), (1, 250)):
+        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        data[150:240] = data[20:110]  # a long repeat
+        windows = np.arange(n - 100 + 1)
+        position = rng.permutation(len(windows))
+        text = data.tobytes()
+        want = []
+        for w in windows.tolist():
+            earlier = [v for v in windows.tolist() if position[v] < position[w]]
+            agree = lambda v: next((k for k in range(100) if text[v + k] != text[w + k]), 100)  # noqa: B023, E731
+            want.append(max(map(agree, earlier), default=0))
+        assert suffix_dedup.longest_previous_factors(data, windows, position).tolist() == want
+
+
 # --- Fill in the middle -------------------------------------------------------------------
 
 

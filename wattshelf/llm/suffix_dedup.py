@@ -1,13 +1,12 @@
-"""Removal of repeated 100-byte strings: suffix order, previous smaller positions and longest previous factors.
+"""Removal of repeated 100-byte strings: suffix order, previous and next smaller positions, longest previous factors.
 
 Every 100-byte window has an anchor, its smallest 32-byte gram by hash; equal windows have equal
 anchors. So windows are compared in buckets by anchor, and only anchors that occur twice need text:
 
 1. anchors of all texts, counted by hash parts: which (text, anchor) have company;
 2. texts meet their marked anchors and cut out the windows around them (maximal runs of windows with one anchor);
-3. in each bucket those runs are put in suffix order (to 100 bytes), equal suffixes in text order; the previous
-   smaller position of a suffix is then its neighbour, and its longest previous factor reaches 100 where the
-   neighbour is equal;
+3. in each bucket the suffixes of those runs are put in order (to 100 bytes); the previous and the next one in this
+   order that start earlier in the corpus give each suffix its longest previous factor, and where it reaches 100 the window is a later copy;
 4. texts meet their removed intervals.
 """
 
@@ -109,35 +108,60 @@ def ordinals(text: np.ndarray, held: dict[int, int], base: int) -> np.ndarray:
     return place
 
 
-def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Rank in suffix order, to ``length`` bytes, of the suffixes at ``windows`` (equal ranks: equal bytes).
-
-    Ranks of 8 bytes are doubled to 16, 32 and 64 bytes; two overlapping ranks of 64 give ``length``.
-    """
-    key = data.astype(np.uint64)
+def prefix_ranks(data: np.ndarray) -> dict[int, np.ndarray]:
+    """For widths 1, 2, 4, ... 64: a number per position that orders and identifies that many bytes from there."""
+    ranks = {1: data.astype(np.uint64)}
     for width in (1, 2, 4):
-        key = (key[:-width] << np.uint64(8 * width)) | key[width:]
-    width = 8
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while width * 2 < length:
-        pair = rank[:-width] * len(data) + rank[width:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    pair = rank[windows] * len(data) + rank[windows + length - width]
-    return np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        ranks[2 * width] = (ranks[width][:-width] << np.uint64(8 * width)) | ranks[width][width:]
+    ranks[8] = np.unique(ranks[8], return_inverse=True)[1].astype(np.int64)
+    for width in (8, 16, 32):
+        pair = ranks[width][:-width] * len(data) + ranks[width][width:]
+        ranks[2 * width] = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    return ranks
+
+
+def common_prefixes(ranks: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes, up to ``length``, agree from each pair of positions."""
+    shared = np.zeros(len(left), np.int64)
+    for width in sorted(ranks, reverse=True):
+        room = np.flatnonzero(shared + width <= length)
+        at = shared[room]
+        equal = ranks[width][left[room] + at] == ranks[width][right[room] + at]
+        shared[room[equal]] += width
+    return shared
+
+
+def nearest_smaller(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the nearest one before it that starts at a smaller position; 0 without one.
+
+    ``shared[i]`` is the common prefix of i - 1 and i. All suffixes jump at once: whoever stands on a larger position takes
+    that one's pointer and the smaller prefix, so pointers double and the rounds grow with the logarithm.
+    """
+    at = np.arange(-1, len(position) - 1)
+    least = shared.copy()
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_ := open_[(at[open_] >= 0)]) and len(open_ := open_[position[at[open_]] > position[open_]]):
+        on = at[open_]
+        least[open_], at[open_] = np.minimum(least[open_], least[on]), at[on]
+    least[at < 0] = 0
+    return least
 
 
-def has_previous_factor(data: np.ndarray, windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows have a longest previous factor of at least ``length``.
+def longest_previous_factors(data: np.ndarray, windows: np.ndarray, position: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Per window the longest string, up to ``length``, that starts there and at a window of smaller ``position`` too.
 
-    ``position`` orders the windows in the corpus. No factor lengths are computed: a window has such a factor
-    exactly if an earlier window has the same bytes, so all but the first of equal rank are marked.
+    ``windows`` are starts in ``data``; ``position`` orders them in the corpus and is unique.
     """
-    rank = window_classes(data, windows, length)
-    order = np.lexsort((position, rank))
-    previous_equal = np.concatenate([[False], rank[order[1:]] == rank[order[:-1]]])
-    out = np.zeros(len(windows), bool)
-    out[order] = previous_equal
+    ranks = prefix_ranks(data)
+    pair = ranks[64][windows] * len(data) + ranks[64][windows + length - 64]
+    order = np.lexsort((position, pair))
+    start, place = windows[order], position[order]
+    shared = np.zeros(len(order), np.int64)
+    shared[1:] = common_prefixes(ranks, start[:-1], start[1:], length)
+    before = nearest_smaller(place, shared)
+    after = nearest_smaller(place[::-1], np.concatenate([shared[:1] * 0, shared[1:][::-1]]))[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -356,7 +380,7 @@ def compared(head: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int, int,
     order = np.empty(len(head), np.int64)
     order[np.lexsort((head["start"], head["tie"], head["doc"]))] = np.arange(len(head))
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    hit = has_previous_factor(data, base[owner] + inside, order[owner] * (int(sizes.max()) + 1) + inside)
+    hit = longest_previous_factors(data, base[owner] + inside, order[owner] * (int(sizes.max()) + 1) + inside) >= LENGTH
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     out = []
     for a, b in edges.reshape(-1, 2).tolist():

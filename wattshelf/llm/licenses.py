@@ -48,9 +48,9 @@ FAMILIES = (
     ("epl-1.0", r"epl-1\.0", r"eclipse public licen[sc]e,? (?:version|v|-)?\.? ?(?:v )?1(?:\.0)?", r"eclipse\.org/legal/epl-v10", ("epl", "eclipse")),
     ("epl-2.0", r"epl-2\.0", r"eclipse public licen[sc]e,? (?:version|v|-)?\.? ?(?:v )?2(?:\.0)?", r"eclipse\.org/legal/epl-2\.0", ("epl", "eclipse")),
     ("cddl-1.0", r"cddl-1\.0", r"common development and distribution licen[sc]e,? (?:version|v)?\.? ?1\.0", r"opensource\.org/licenses?/cddl-1\.0", ("cddl", "common development")),
-    ("cddl-1.1", r"cddl-1\.1", r"common development and distribution licen[sc]e,? (?:version|v)?\.? ?1\.1", r"glassfish.*/cddl\+gpl_1_1", ("cddl", "common development")),
-    ("eupl-1.1", r"eupl-1\.1", r"european union public licen[sc]e,? (?:version|v)?\.? ?1\.1", r"joinup\.ec\.europa\.eu/.*eupl/1\.1", ("eupl", "european union public")),
-    ("eupl-1.2", r"eupl-1\.2", r"european union public licen[sc]e,? (?:version|v)?\.? ?1\.2", r"joinup\.ec\.europa\.eu/.*eupl/1\.2", ("eupl", "european union public")),
+    ("cddl-1.1", r"cddl-1\.1", r"common development and distribution licen[sc]e,? (?:version|v)?\.? ?1\.1", r"glassfish[^\s]{0,200}/cddl\+gpl_1_1", ("cddl", "common development")),
+    ("eupl-1.1", r"eupl-1\.1", r"european union public licen[sc]e,? (?:version|v)?\.? ?1\.1", r"joinup\.ec\.europa\.eu/[^\s]{0,200}eupl/1\.1", ("eupl", "european union public")),
+    ("eupl-1.2", r"eupl-1\.2", r"european union public licen[sc]e,? (?:version|v)?\.? ?1\.2", r"joinup\.ec\.europa\.eu/[^\s]{0,200}eupl/1\.2", ("eupl", "european union public")),
     ("artistic-1.0", r"artistic-1\.0", r"artistic licen[sc]e,? (?:version|v)?\.? ?1(?:\.0)?", r"opensource\.org/licenses?/artistic-1\.0", ("artistic",)),
     ("artistic-2.0", r"artistic-2\.0", r"artistic licen[sc]e,? (?:version|v)?\.? ?2(?:\.0)?", r"opensource\.org/licenses?/artistic-2\.0", ("artistic",)),
     ("bsl-1.0", r"bsl-1\.0", r"boost software licen[sc]e(?:,? (?:version|v)?\.? ?1\.0)?", r"boost\.org/license_1_0", ("bsl-1", "boost")),
@@ -59,7 +59,7 @@ FAMILIES = (
     ("wtfpl", r"wtfpl", r"do what the fuck you want to public licen[sc]e", r"wtfpl\.net", ("wtfpl", "what the fuck")),
     ("0bsd", r"0bsd", r"(?:zero-clause|bsd zero clause) (?:bsd )?licen[sc]e", r"opensource\.org/licenses?/0bsd", ("0bsd", "zero-clause", "zero clause")),
     ("postgresql", r"postgresql", r"postgresql licen[sc]e", r"opensource\.org/licenses?/postgresql", ("postgresql",)),
-    ("python-2.0", r"(?:python|psf)-2\.0", r"python software foundation licen[sc]e|psf licen[sc]e", r"docs\.python\.org/.*/license", ("python", "psf")),
+    ("python-2.0", r"(?:python|psf)-2\.0", r"python software foundation licen[sc]e|psf licen[sc]e", r"docs\.python\.org/[^\s]{0,200}/license", ("python", "psf")),
     ("ofl-1.1", r"ofl-1\.1", r"sil open font licen[sc]e(?:,? (?:version|v)?\.? ?1\.1)?", r"scripts\.sil\.org/ofl|openfontlicense\.org", ("ofl", "open font", "openfont")),
     ("openssl", r"openssl", r"openssl licen[sc]e", r"openssl\.org/source/license", ("openssl",)),
     ("ms-pl", r"ms-pl", r"microsoft public licen[sc]e", r"opensource\.org/licenses?/ms-pl", ("ms-pl", "microsoft public")),

@@ -291,3 +291,33 @@ def test_tampered_documents_do_not_verify(spark, tmp_path):
     for r in QUERIES["op11_manifest"](spark, str(tmp_path)).collect():
         even = zlib.crc32(str(r["doc_id"]).encode()) % 2 == 0
         assert r["verified"] == (not (even and r["doc_id"] % 3)) == (r["folded_root"] == r["root"])
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A megabyte of numbers for the personal-data search, a megabyte of one URL for the license scan."""
+    import time
+
+    from wattshelf.llm import licenses, pii
+
+    text = " ".join(f"{i} (415) 555-{i % 9000 + 1000} +1 415 555 {i % 9000 + 1000}" for i in range(25_000))
+    started = time.monotonic()
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_phone"] == 25_000 and row["n_spans"] >= 25_000
+    scanner = licenses.Scanner(licenses.signature_rules())
+    assert scanner.detections("joinup.ec.europa.eu/" * 50_000 + " docs.python.org/" * 10_000) == []
+    assert time.monotonic() - started < 200
+
+
+def test_spans_are_clear_of_sure_ones(spark):
+    from wattshelf.llm import pii
+
+    rng = random.Random(9)
+    spans = lambda n, kind: [(a := rng.randint(0, 4000), kind, a + rng.randint(1, 30)) for _ in range(n)]
+    for n in (0, 5, 400):
+        sure, others = sorted(spans(n, 1)), sorted(spans(400, 5))
+        kind = "array<struct<start:bigint,kind:int,end:bigint>>"
+        row = spark.createDataFrame([(sure, others)], f"sure {kind}, others {kind}").select(
+            pii.clear_of(F.col("sure"), F.col("others")).alias("left")
+        ).first()
+        want = [o for o in others if not any(s[0] < o[2] and o[0] < s[2] for s in sure)]
+        assert sorted(tuple(x) for x in row["left"]) == want

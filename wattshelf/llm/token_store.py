@@ -24,6 +24,8 @@ MAGIC = b"WSIDS001"
 CACHE_WORDS = 700_000
 KEYS_PER_SEED = 4
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Characters that are one of ``LETTERS`` in lower case: a full stop or comma after them is a piece of its own.
+BEFORE_STOP = frozenset(c for c in map(chr, range(0x250)) if LETTERS.fullmatch(c.lower()))
 #: Byte-level vocabularies write a byte as its Latin-1 character where that is visible, others as 256, 257, ... in order.
 HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(HIDDEN)}
@@ -67,7 +69,7 @@ class WordCache:
         return packed.tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and LETTERS.fullmatch(p[-2].lower())}
+        stems = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1] in ".," and p[-2] in BEFORE_STOP}
         wanted = sorted(p for p in {*pieces, *stems.values(), ".", ","} if p not in stems and p not in self.held)
         if self.direct:
             for piece in wanted:

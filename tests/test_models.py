@@ -213,9 +213,7 @@ def test_scoring_refuses_missing_features_and_bad_predictions(spark, featured):
         forecast.score_energy(featured, Broken).collect()
 
 
-def test_boosted_query_fits_with_default_features_rounds_and_depth():
+def test_queries_fit_with_default_features_rounds_and_depth():
     from wattshelf.plans.catalog import models
 
-    chosen, default = models.fit_settings(classify.BOOSTED), classify.TrainingSettings(key="doc_id", text_columns=("description",))
-    for name in ("max_features", "boosted_rounds", "boosted_depth", "boosted_step"):
-        assert getattr(chosen, name) == getattr(default, name)
+    assert models.SETTINGS == classify.TrainingSettings(key="doc_id", text_columns=("description",))

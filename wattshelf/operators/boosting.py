@@ -68,24 +68,24 @@ def pack_blocks(batches, rows_per_block: int):
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def bin_edges(cells: DataFrame, max_bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets per feature, values): a value's bin is 1 plus the number of its feature's edges at or below it.
+def bin_edges(cells: DataFrame, max_bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets per feature, values, rows per feature): a value's bin is 1 plus the number of its feature's edges at or below it.
 
     Edges are approximate quantiles of the non-zero values, all of them where there are at most ``max_bins``.
     At most features x bins numbers reach the driver.
     """
     shares = [i / max_bins for i in range(1, max_bins + 1)]
     rows = cells.groupBy("feature").agg(
-        F.min("value").alias("low"), F.percentile_approx("value", shares, 100 * max_bins).alias("edges")
+        F.min("value").alias("low"), F.count(F.lit(1)).alias("n"), F.percentile_approx("value", shares, 100 * max_bins).alias("edges")
     ).collect()
     if any(row["low"] < 0 for row in rows):
         raise ValueError("features must not be negative")
     found = {row["feature"]: sorted({e for e in row["edges"] if e > row["low"]}) for row in rows}
     size = max(found, default=-1) + 1
-    offsets = np.zeros(size + 1, np.int64)
-    for feature, edges in found.items():
-        offsets[feature + 1] = len(edges)
-    return np.cumsum(offsets), np.array([e for f in sorted(found) for e in found[f]], np.float64)
+    offsets, counts = np.zeros(max(size, 1) + 1, np.int64), np.zeros(max(size, 1), np.int64)
+    for row in rows:
+        offsets[row["feature"] + 1], counts[row["feature"]] = len(found[row["feature"]]), row["n"]
+    return np.cumsum(offsets), np.array([e for f in sorted(found) for e in found[f]], np.float64), counts
 
 
 def unpack_block(row, offsets: np.ndarray, edges: np.ndarray) -> tuple:
@@ -156,12 +156,19 @@ def merge(left: tuple, right: tuple) -> tuple:
     return (*summed(keys[order], *both), left[3] + right[3])
 
 
-def level_sums(block: tuple, margins: np.ndarray, trees: list[tuple], current: tuple, level: int, usable, parts: int, width: int):
+def level_sums(
+    block: tuple, margins: np.ndarray, trees: list[tuple], current: tuple, level: int, usable, counts: np.ndarray, parts: int, least_weight: float
+):
     """(part, (keys, g, h, totals)) of one block: sums per (class, node of the level, feature, bin).
 
-    ``totals`` are the sums of whole nodes, which give what stands at value zero by difference.
+    ``totals`` are the sums of whole nodes, which give what stands at value zero by difference. ``counts`` are the rows of
+    each feature: at the root, features are left out whose weight here and at most one half for each row
+    elsewhere is below ``least_weight``, as they cannot be a child. Below it, ``usable`` names the features that can.
     """
-    labels, rows, features, bins, _, _ = block
+    labels, rows, features, bins, columns, starts = block
+    width = len(counts)
+    elsewhere = 0.5 * counts
+    elsewhere[columns] -= 0.5 * np.diff(starts)
     feature, least, open_nodes = current
     g, h = gradients(labels, add_trees(block, margins, trees))
     first, nodes = (1 << level) - 1, 1 << level
@@ -176,8 +183,14 @@ def level_sums(block: tuple, margins: np.ndarray, trees: list[tuple], current: t
         inside = at >= 0
         for i, values in enumerate((g, h)):
             totals[k * nodes : (k + 1) * nodes, i] = np.bincount(at[inside], values[inside, k], nodes)
-        chosen = np.flatnonzero(inside[rows] if usable is None else inside[rows] & usable[k][features])
-        chosen = chosen[np.argsort(at[rows[chosen]].astype(np.int16), kind="stable")]
+        if usable is None:
+            likely = np.bincount(features, h[rows, k], width) + elsewhere >= least_weight * (1 - 1e-9)
+        else:
+            likely = usable[k]
+        chosen = np.flatnonzero(likely[features])
+        if nodes > 1:
+            chosen = chosen[inside[rows[chosen]]]
+            chosen = chosen[np.argsort(at[rows[chosen]].astype(np.int16), kind="stable")]
         r = rows[chosen]
         keys = ((k * nodes + at[r].astype(np.int64)) * width + features[chosen]) * 256 + bins[chosen]
         for held, values in zip(kept, summed(keys, g[r, k], h[r, k])):
@@ -202,21 +215,23 @@ def best_splits(sums: tuple, width: int, l2: float, min_child_weight: float) ->
     column = keys // 256
     node = column // width
     last = np.flatnonzero(np.concatenate([column[1:] != column[:-1], [True]]))
-    group = np.searchsorted(last, np.arange(len(keys)))
+    ends = np.repeat(last, np.diff(last, prepend=-1))
     g_upto, h_upto = np.cumsum(g), np.cumsum(h)
-    right_g, right_h = g_upto[last[group]] - g_upto + g, h_upto[last[group]] - h_upto + h
+    right_g, right_h = g_upto[ends] - g_upto + g, h_upto[ends] - h_upto + h
     all_g, all_h = totals[node, 0], totals[node, 1]
     left_g, left_h = all_g - right_g, all_h - right_h
-    gain = left_g**2 / (left_h + l2) + right_g**2 / (right_h + l2) - all_g**2 / (all_h + l2)
-    # equal splits differ by the order of sums only: compare nine digits
-    digits = 10.0 ** (9 - np.ceil(np.log10(np.maximum(gain, 1e-12))))
-    valid = (right_h >= min_child_weight) & (left_h >= min_child_weight) & (gain > 1e-6)
-    rank = np.where(valid, np.round(gain * digits) / digits, -1.0)
-    order = np.lexsort((keys, -rank, node))
-    top = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
+    valid = np.flatnonzero((right_h >= min_child_weight) & (left_h >= min_child_weight))
+    gain = np.zeros(len(keys))
+    left, right, whole = ((x[valid] ** 2 / (y[valid] + l2)) for x, y in ((left_g, left_h), (right_g, right_h), (all_g, all_h)))
+    gain[valid] = left + right - whole
+    gain[gain <= 1e-6] = 0.0
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    best = np.maximum.reduceat(gain, starts)
+    # equal splits differ by the order of sums only: the first within one part in 10^9 of the best
+    near = np.flatnonzero((gain > 0) & (gain >= np.repeat(best, np.diff(np.append(starts, len(keys)))) * (1 - 1e-9)))
+    top = near[np.concatenate([[True], node[near][1:] != node[near][:-1]])] if len(near) else near
     splits = [
-        (int(node[i]), float(rank[i]), int(column[i] % width), int(keys[i] % 256), left_g[i], left_h[i], right_g[i], right_h[i])
-        for i in top.tolist() if valid[i]
+        (int(node[i]), float(gain[i]), int(column[i] % width), int(keys[i] % 256), left_g[i], left_h[i], right_g[i], right_h[i]) for i in top.tolist()
     ]
     first = np.concatenate([[0], last[:-1] + 1])
     weights = h_upto[last] - h_upto[first] + h[first]
@@ -295,12 +310,12 @@ class SoftmaxTrees:
         )
 
 
-def binned_blocks(train: DataFrame, features: str, label: str, settings: BoostSettings) -> tuple[RDD, int, np.ndarray, np.ndarray, int, int]:
-    """(blocks, their number, offsets, edges, classes, cells): the rows, binned once and held by the executors (lost ones are read again)."""
+def binned_blocks(train: DataFrame, features: str, label: str, settings: BoostSettings) -> tuple[RDD, int, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(blocks, their number, offsets, edges, rows per feature, classes): the rows, binned once and held by the executors (lost ones are read again)."""
     spark = train.sparkSession
     indices, values = sparse_cells(features)
     flat = train.select(quoted(label).cast("int").alias("label"), indices.alias("indices"), values.alias("values"))
-    rows = flat.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top"), F.sum(F.size("values")).alias("cells")).first()
+    rows = flat.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).first()
     if not rows["n"]:
         raise ValueError("no rows to train on")
     parts = -(-rows["n"] // settings.rows_per_block)
@@ -309,11 +324,11 @@ def binned_blocks(train: DataFrame, features: str, label: str, settings: BoostSe
     )
     zipped = flat.select(F.explode(F.arrays_zip("indices", "values")).alias("c"))
     cells = zipped.select(F.col("c.indices").alias("feature"), F.col("c.values").alias("value")).filter("value <> 0")
-    offsets, edges = bin_edges(cells, settings.max_bins)
+    offsets, edges, counts = bin_edges(cells, settings.max_bins)
     shared = spark.sparkContext.broadcast((offsets, edges))
     n_blocks = packed.count()
     blocks = packed.repartition(n_blocks).rdd.map(lambda row: unpack_block(row, *shared.value))
-    return blocks, n_blocks, offsets, edges, rows["top"] + 1, rows["cells"]
+    return blocks, n_blocks, offsets, edges, counts, rows["top"] + 1
 
 
 def fit_softmax_trees(
@@ -326,9 +341,10 @@ def fit_softmax_trees(
     repeat count each; no rows at all is an error.
     """
     settings = settings or BoostSettings()
-    blocks, n_blocks, offsets, edges, classes, cells = binned_blocks(train, features, label, settings)
-    width = max(len(offsets) - 1, 1)
-    parts = max(1, -(-cells // settings.cells_per_part))
+    blocks, n_blocks, offsets, edges, counts, classes = binned_blocks(train, features, label, settings)
+    width = len(counts)
+    parts = max(1, -(-int(counts.sum()) // settings.cells_per_part))
+    shared = train.sparkSession.sparkContext.broadcast(counts)
     inner, size = (1 << settings.depth) - 1, (1 << (settings.depth + 1)) - 1
     done: list[tuple] = []
 
@@ -348,7 +364,7 @@ def fit_softmax_trees(
             if not open_nodes.any():
                 break
             current, nodes = (feature, least, open_nodes), 1 << level
-            sums = state.flatMap(lambda s: level_sums(*s, recent, current, level, usable, parts, width))  # noqa: B023
+            sums = state.flatMap(lambda s: level_sums(*s, recent, current, level, usable, shared.value, parts, settings.min_child_weight))  # noqa: B023
             if parts > 1 or n_blocks > 1:
                 sums = sums.reduceByKey(merge, parts)
             found = sums.map(lambda s: best_splits(s[1], width, settings.l2, settings.min_child_weight)).collect()
@@ -362,7 +378,7 @@ def fit_softmax_trees(
             for splits, _, _ in found:
                 for split in splits:
                     held = best.get(split[0])
-                    if held is None or (-split[1], *split[2:4]) < (-held[1], *held[2:4]):
+                    if held is None or split[1] > held[1] * (1 + 1e-9) or (split[1] >= held[1] * (1 - 1e-9) and split[2:4] < held[2:4]):
                         best[split[0]] = split
             open_nodes = np.zeros((classes, 2 * nodes), bool)
             for node, (_, _, f, b, left_g, left_h, right_g, right_h) in best.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,35 @@ def windowed_category_counts(
             "mean_confidence",
         )
     )
+
+
+def history_cube(history: DataFrame, columns: Sequence[str], measure: str = "confidence") -> DataFrame:
+    """Rows and total of a measure for every combination of the columns, in one pass: columns, grouping_id, rows, total.
+
+    ``grouping_id`` has a bit per column, the first one highest, set where the column is summed over; that tells a total
+    from a missing value.
+    """
+    return history.cube(*[quoted(c) for c in columns]).agg(
+        F.grouping_id().cast("bigint").alias("grouping_id"), F.count(F.lit(1)).alias("rows"), F.sum(quoted(measure)).alias("total")
+    )
+
+
+def daily_sketches(predictions: DataFrame, key: str, measure: str, time: str = "timestamp", k: int = 400) -> DataFrame:
+    """(day, rows, keys, values): per day an HLL sketch of the distinct keys and a KLL sketch of the measure.
+
+    Stored by day, they answer for any span of days without a look at the rows.
+    """
+    return predictions.groupBy(F.to_date(quoted(time)).alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg(quoted(key), 14).alias("keys"), F.kll_sketch_agg_double(quoted(measure).cast("double"), k).alias("values")
+    )
+
+
+def merged_kpis(sketches: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Days, rows, estimated distinct keys and quantiles of all given days, from their sketches alone."""
+    merged = sketches.agg(
+        F.count(F.lit(1)).alias("days"), F.sum("rows").alias("rows"), F.hll_union_agg("keys").alias("_keys"), F.kll_merge_agg_double("values").alias("_values")
+    )
+    return merged.select(
+        "days", "rows", F.hll_sketch_estimate("_keys").alias("distinct_keys"),
+        F.array(*[F.kll_sketch_get_quantile_double("_values", F.lit(share)) for share in shares]).alias("quantiles"),
+    )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattshelf.functions.columns import nan_to_null, quoted
 from wattshelf.functions.fixed_values import LAGS, ROLLING_MEANS, ROLLING_STDS, SERIES_TARGET, SERIES_TIME
 from wattshelf.functions.series import calendar_columns, micros
 from wattshelf.operators.projection import drop_incomplete
-from wattshelf.operators.ranks import windowed_in_blocks
+from wattshelf.operators.ranks import profile_columns, windowed_in_blocks, with_bin
 from wattshelf.operators.series_quality import timestamp_of
 
 
@@ -76,3 +77,33 @@ def build_features(
     calendar = parsed.withColumns(calendar_columns(quoted(time)))
     featured = history_features(calendar, quoted(time), target, series, rows_per_block=rows_per_block)
     return drop_incomplete(featured) if dropna else featured
+
+
+def rolling_time(
+    df: DataFrame,
+    ts: Column,
+    target: str,
+    spans_us: Mapping[str, int],
+    series: Sequence[str] = (),
+    rows_per_block: int = 1_000_000,
+) -> DataFrame:
+    """Count, mean and deviation of the earlier readings inside a time span: <name>_rows, <name>_mean, <name>_std.
+
+    For series with gaps, where a number of rows is no measure of time. A span looks back from just before a
+    row's time. Rows are cut into blocks of time of about equal depth, and a row also goes to every later block that its
+    span reaches, where it is dropped again after the window: the halo is measured in time. Null times have no span
+    and empty statistics; readings at one time do not see each other; missing readings are not counted.
+    """
+    keyed = df.withColumns({"_at": micros(ts).cast("double")})
+    longest = max(spans_us.values())
+    blocks = max(1, math.ceil(df.count() / rows_per_block))
+    edges = profile_columns(keyed, ["_at"], blocks)["_at"].edges if blocks > 1 else ()
+    reach = with_bin(keyed, "_at", edges, "_block").withColumn("_until", F.col("_at") + F.lit(float(longest)))
+    spread = with_bin(reach, "_until", edges, "_to").withColumn("_copy", F.explode(F.sequence("_block", "_to")))
+    placed = Window.partitionBy(*[quoted(name) for name in series], "_copy").orderBy(F.col("_at").cast("bigint"))
+    value, columns = quoted(target), {}
+    for name, span in spans_us.items():
+        frame = placed.rangeBetween(-span, -1)
+        columns |= {f"{name}_rows": F.count(value).over(frame), f"{name}_mean": F.avg(value).over(frame), f"{name}_std": F.stddev_samp(value).over(frame)}
+    featured = spread.withColumns(columns).filter("_copy = _block").drop("_at", "_block", "_until", "_to", "_copy")
+    return featured.withColumns({n: F.when(ts.isNotNull(), F.col(n)) if not n.endswith("_rows") else F.when(ts.isNotNull(), F.col(n)).otherwise(0) for n in columns})

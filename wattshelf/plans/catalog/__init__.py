@@ -4,6 +4,7 @@ from wattshelf.plans.catalog import (  # noqa: F401  (each module registers its
     models,
     monitoring,
     products,
+    relations,
     series,
     streams,
     texts,

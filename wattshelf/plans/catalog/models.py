@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from wattshelf.functions.columns import quoted
 from wattshelf.functions.fixed_values import (
     LABEL_SEPARATOR,
+    MODEL_CATEGORICAL,
     MODEL_NUMERIC,
     SERIES_NUMERIC,
 )
@@ -280,6 +282,70 @@ def impute_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The model's own 20 numeric and 3 categorical columns, those without a source made from the reading, its user and time.
+SOURCES = {
+    "Lagging_Current_Reactive.Power_kVarh": ("CASE WHEN event_type <> 'error' THEN value * 0.3 END", lambda: F.when(F.col("event_type") != "error", F.col("value") * 0.3)),
+    "Leading_Current_Reactive_Power_kVarh": ("CAST(user_id AS DOUBLE)", lambda: F.col("user_id").cast("double")),
+    "CO2(tCO2)": ("value / 1000", lambda: F.col("value") / 1000),
+    "Lagging_Current_Power_Factor": ("CASE WHEN value >= 1 THEN least(100.0, value) END", lambda: F.when(F.col("value") >= 1, F.least(F.lit(100.0), F.col("value")))),
+    "Leading_Current_Power_Factor": ("100.0 - least(100.0, value)", lambda: F.lit(100.0) - F.least(F.lit(100.0), F.col("value"))),
+    "NSM": (
+        "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE)",
+        lambda: (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double"),
+    ),
+}
+CALENDAR_SQL = {
+    "year": "year(ts)", "month": "month(ts)", "day": "day(ts)", "day_of_year": "dayofyear(ts)", "hour": "hour(ts)",
+    "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)",
+}
+
+
+def _history_sql(name: str) -> str:
+    over, n = "ORDER BY ts, event_id", int(name.rsplit("_", 1)[1])
+    if "_lag_" in name:
+        return f"lag(value, {n}) OVER ({over})"
+    function = "avg" if "_mean_" in name else "stddev_samp"
+    frame = f"OVER ({over} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count(value) {frame} = {n} THEN {function}(value) {frame} END"
+
+
+MODEL_SQL = [SOURCES[n][0] if n in SOURCES else CALENDAR_SQL[n] if n in CALENDAR_SQL else _history_sql(n) for n in MODEL_NUMERIC]
+CODES_SQL = ("CASE WHEN dayofweek(ts) IN (0, 6) THEN 'Weekend' ELSE 'Weekday' END", "dayname(ts)", "CASE WHEN value >= 5 THEN event_type END")
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading with all columns of the model; rows without a full history keep nulls for the preprocessor."""
+    events = v.load(spark, sf_dir, "events")
+    weekend = F.when(F.dayofweek("ts").isin(1, 7), "Weekend").otherwise("Weekday")
+    made = events.withColumns({name: column() for name, (_, column) in SOURCES.items()}).withColumns(calendar_columns(F.col("ts")))
+    coded = made.withColumns(dict(zip(MODEL_CATEGORICAL, (weekend, F.date_format("ts", "EEEE"), F.when(F.col("value") >= 5, F.col("event_type"))), strict=True)))
+    return history_features(coded, F.col("ts"), "value", (), [F.col("event_id")])
+
+
+def _scaled(i: int) -> str:
+    return f"round((x{i} - (SELECT avg(x{i}) FROM filled_v)) / (SELECT coalesce(nullif(stddev_pop(x{i}), 0), 1) FROM filled_v), 5) + 0.0 AS n{i}"
+
+
+@query(
+    "preprocessed_features",
+    f"""WITH raw_v AS (SELECT event_id, {', '.join(f'CAST({e} AS DOUBLE) AS x{i}' for i, e in enumerate(MODEL_SQL))},
+          {', '.join(f'{e} AS c{i}' for i, e in enumerate(CODES_SQL))} FROM events),
+        middle_v AS (SELECT {', '.join(f'quantile_cont(x{i}, 0.5) AS m{i}' for i in range(len(MODEL_SQL)))} FROM raw_v),
+        filled_v AS (SELECT event_id, {', '.join(f'coalesce(x{i}, m{i}) AS x{i}' for i in range(len(MODEL_SQL)))},
+          {', '.join(f"coalesce(c{i}, (SELECT c{i} FROM raw_v WHERE c{i} IS NOT NULL GROUP BY c{i} ORDER BY count(*) DESC, c{i} LIMIT 1)) AS c{i}" for i in range(len(CODES_SQL)))}
+          FROM raw_v, middle_v)
+        SELECT event_id, {', '.join(_scaled(i) for i in range(len(MODEL_SQL)))},
+          {', '.join(f'CAST(dense_rank() OVER (ORDER BY c{i}) - 1 AS INTEGER) AS c{i}' for i in range(len(CODES_SQL)))} FROM filled_v""",
+)
+def preprocessed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feature vector of the default model: 20 scaled numbers, and the positions of three one-hot codes."""
+    rows = materialise(model_rows(spark, sf_dir).select("event_id", *[quoted(n) for n in (*MODEL_NUMERIC, *MODEL_CATEGORICAL)]))
+    vectors = forecast.fit_preprocessor(rows).transform(rows)
+    numbers = vector_to_array("features")
+    hot = [F.unwrap_udt(f"_c{i}_hot")["indices"][0].alias(f"c{i}") for i in range(len(MODEL_CATEGORICAL))]
+    return vectors.select("event_id", *[(F.round(numbers[i], 5) + 0.0).alias(f"n{i}") for i in range(len(MODEL_NUMERIC))], *hot)
+
+
 # --- Regressors ---------------------------------------------------------------------------
 
 

@@ -180,3 +180,60 @@ def stream_delayed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The closing event has a label of its own, and so may come out as a match.
     rows = spark.read.parquet(f"{base}/out").filter(F.col("event_id") >= 0)
     return rows.select("event_id", "prediction", "actual")
+
+
+# --- Sessions and late rows ---------------------------------------------------------------
+
+#: Errors come in a second batch: those at or before an hour behind the latest other event are late.
+ARRIVALS = """mark_v AS (SELECT max(ts) - INTERVAL 1 HOUR AS bound FROM events WHERE event_type <> 'error'),
+arrival_v AS (SELECT e.*, event_type <> 'error' OR ts > bound AS accepted FROM events e, mark_v)"""
+
+
+def arrivals(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """Two batches of events through the split of late rows, into ``accepted`` and ``late`` below ``base``."""
+    events = v.load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.col("event_type") == "error"
+    for part in (events.filter(~late), events.filter(late)):
+        part.write.mode("append").parquet(f"{base}/source")
+        stream = streams.file_stream(spark, f"{base}/source", events.schema)
+        writer = streams.late_split_stream(stream, "ts", "1 HOUR", f"{base}/accepted", f"{base}/late", f"{base}/marks")
+        streams.run_available(writer, f"{base}/split-checkpoint")
+
+
+@query(
+    "stream_late_rows",
+    f"WITH {ARRIVALS} SELECT event_id, CASE WHEN accepted THEN 'accepted' ELSE 'late' END AS sink FROM arrival_v",
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "stream-late")
+    arrivals(spark, sf_dir, base)
+    sinks = [spark.read.parquet(f"{base}/{sink}").select("event_id", F.lit(sink).alias("sink")) for sink in ("accepted", "late")]
+    return sinks[0].unionByName(sinks[1])
+
+
+@query(
+    "stream_sessions",
+    f"""WITH {ARRIVALS}, gap_v AS (
+      SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM arrival_v WHERE accepted
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    island_v AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS n FROM gap_v)
+    SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end, count(*) AS rows, round(sum(value), 6) AS total
+    FROM island_v GROUP BY user_id, n""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions per user of the rows that came in time."""
+    base = scratch_path(spark, "stream-sessions")
+    arrivals(spark, sf_dir, base)
+    accepted = spark.read.parquet(f"{base}/accepted").drop("batch_id")
+    last = accepted.agg(F.max("ts").alias("last")).filter("last IS NOT NULL")
+    values = {"ts": F.col("last") + F.expr("INTERVAL 2 DAYS"), "value": F.lit(0.0)}
+    last.select(*[values.get(f.name, F.lit(-1)).cast(f.dataType).alias(f.name) for f in accepted.schema]).write.parquet(f"{base}/closing")
+    stream = streams.file_stream(spark, f"{base}/accepted", accepted.schema).drop("batch_id").unionByName(
+        streams.file_stream(spark, f"{base}/closing", accepted.schema)
+    )
+    sessions = streams.session_stream(stream, ["user_id"], "ts", "30 minutes", "1 hour", "value")
+    streams.start_to_table(sessions, f"{base}/out", f"{base}/checkpoint")
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select(
+        "user_id", micros(F.col("session_start")).alias("session_start"), micros(F.col("session_end")).alias("session_end"), "rows", F.round("total", 6).alias("total")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,24 @@ def require_payloads(df: DataFrame, payload: str, record: T.StructType) -> DataF
     )
 
 
+def variant_records(df: DataFrame, payload: str, paths: Mapping[str, tuple[str, str]], keep: Sequence[str], wrappers: Sequence[str] = ("$.data",)) -> DataFrame:
+    """One row per record of payloads of any shape: keep, position, shape, and a column per (path, type).
+
+    A payload is parsed once into a variant. The records are what the first of ``wrappers`` that is there holds, else
+    the payload; a list gives a row per element, an object one. Missing paths and values of another type are null; broken JSON,
+    and payloads that are neither list nor object, give no row.
+    """
+    parsed = df.select(*[quoted(k) for k in keep], F.try_parse_json(quoted(payload)).alias("_v"))
+    body = F.coalesce(*[F.try_variant_get("_v", wrapper, "variant") for wrapper in wrappers], F.col("_v"))
+    opened = parsed.withColumn("_body", body).withColumn("_shape", F.schema_of_variant("_body"))
+    is_list, is_object = F.col("_shape").startswith("ARRAY"), F.col("_shape").startswith("OBJECT")
+    records = F.when(is_list, F.try_variant_get("_body", "$", "array<variant>")).when(is_object, F.array("_body"))
+    rows = opened.select(*[quoted(k) for k in keep], F.when(is_list, "list").otherwise("object").alias("shape"), F.posexplode(records).alias("position", "_record"))
+    return rows.select(
+        *[quoted(k) for k in keep], "position", "shape", *[F.try_variant_get("_record", path, kind).alias(name) for name, (path, kind) in paths.items()]
+    )
+
+
 def write_report(report: DataFrame, path: str) -> str:
     """Append one-row reports as JSON lines."""
     report.write.mode("append").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ PREDICTIONS_SCHEMA = (
     "prediction_id bigint, product_id bigint, predicted_category string, predicted_sub_category string, "
     "confidence decimal(6,5), timestamp timestamp"
 )
+LAST_IDS = "product_id bigint, prediction_id bigint"
 MODELS_SCHEMA = "version string, accuracy decimal(6,5), created_at timestamp"
 
 
@@ -114,12 +117,7 @@ def write_scored_batch(
     earlier batches, so a repeated batch gets the same ids.
     """
     spark = batch.sparkSession
-    owner = "batch_id bigint"
-    earlier = F.col("batch_id") < F.lit(batch_id)
-    product_max = highest(read_table(spark, products_path, f"{PRODUCTS_SCHEMA}, {owner}").filter(earlier), "id")
-    prediction_max = highest(
-        read_table(spark, predictions_path, f"{PREDICTIONS_SCHEMA}, {owner}").filter(earlier), "prediction_id"
-    )
+    product_max, prediction_max = last_ids(spark, batch_id, products_path, predictions_path)
     numbered = with_ordinals(batch, order, output="_n")
     now = F.current_timestamp()
     products = numbered.select(
@@ -140,10 +138,47 @@ def write_scored_batch(
     )
     for rows, path in ((products, products_path), (predictions, predictions_path)):
         rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-    return (
+    stored = (
         spark.read.parquet(f"{products_path.rstrip('/')}/batch_id={batch_id}"),
         spark.read.parquet(f"{predictions_path.rstrip('/')}/batch_id={batch_id}"),
     )
+    added = stored[1].count()
+    row = [(product_max + added, prediction_max + added)]
+    spark.createDataFrame(row, LAST_IDS).coalesce(1).write.mode("overwrite").parquet(f"{ids_path(predictions_path)}/batch_id={batch_id}")
+    return stored
+
+
+def ids_path(predictions_path: str) -> str:
+    """Where a batch leaves its last ids; readers of the table skip names with an underscore."""
+    return f"{predictions_path.rstrip('/')}/_last_ids"
+
+
+def last_ids(spark: SparkSession, batch_id: int, products_path: str, predictions_path: str) -> tuple[int, int]:
+    """The last product and prediction id of the batches before ``batch_id``: one stored row per batch.
+
+    Tables of batches that left no such row are searched once.
+    """
+    owner = "batch_id bigint"
+    earlier = F.col("batch_id") < F.lit(batch_id)
+    ids = read_table(spark, ids_path(predictions_path), f"{LAST_IDS}, {owner}").filter(earlier)
+    row = ids.agg(F.max("product_id"), F.max("prediction_id")).first()
+    if row[0] is not None:
+        return row[0], row[1]
+    products = read_table(spark, products_path, f"{PRODUCTS_SCHEMA}, {owner}").filter(earlier)
+    predictions = read_table(spark, predictions_path, f"{PREDICTIONS_SCHEMA}, {owner}").filter(earlier)
+    return highest(products, "id"), highest(predictions, "prediction_id")
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int = 16, partition_by: Sequence[str] = ()) -> None:
+    """A table with rows dealt to buckets by ``key`` and sorted inside them: the stand-in for an index on the key.
+
+    Tables with the same number of buckets join on the key without a shuffle; a filter on the key reads one bucket, and one on a
+    partition column, also one that a join implies, reads its folders only.
+    """
+    columns = [quoted(name) for name in partition_by]
+    dealt = df.repartition(buckets, quoted(key)) if not columns else df.repartition(buckets, *columns, quoted(key))
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
 
 
 def write_features(features: DataFrame, vocabulary: DataFrame, path: str) -> dict[str, str]:

@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wattshelf.functions.columns import quoted
 from wattshelf.functions.fixed_values import LAGS, ROLLING_MEANS, ROLLING_STDS
@@ -21,7 +20,12 @@ from wattshelf.operators.drift import windowed_counts, windowed_psi
 from wattshelf.operators.metrics import regression_metrics
 from wattshelf.operators.product_quality import QualityRules, with_row_flags
 from wattshelf.plans.classify import ProductScorer, score_products
-from wattshelf.sources.tables import write_scored_batch
+from wattshelf.sources.tables import read_table, write_scored_batch
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROW = np.dtype([("at", "<i8"), ("key", "<i8"), ("value", "<f8")])
 
 
 def file_stream(
@@ -105,6 +109,12 @@ def lag_schema(series: T.StructField, lags: Sequence[int], means: Sequence[int],
     )
 
 
+def _packed_rows(at, keys, values) -> np.ndarray:
+    out = np.empty(len(at), ROW)
+    out["at"], out["key"], out["value"] = at, keys, values
+    return out
+
+
 def _features_of(values: np.ndarray, start: int, lags, means, stds) -> dict[str, np.ndarray]:
     """Feature columns for ``values[start:]``, looking back into ``values[:start]``."""
     series = pd.Series(values)
@@ -126,47 +136,22 @@ def lag_stream(
     means: Sequence[int] = ROLLING_MEANS,
     stds: Sequence[int] = ROLLING_STDS,
     prefix: str = "usage",
+    slot_us: int = 3_600_000_000,
 ) -> DataFrame:
     """Lag and rolling features per series, in event-time order.
 
     Rows wait until the watermark has passed them, so that order is final when they are
-    emitted; later arrivals are dropped by Spark and counted in the query progress. State per
-    series: the longest look-back of values, and the rows still waiting.
+    emitted; later arrivals are dropped by Spark and counted in the query progress. State lives in the RocksDB
+    store: per series the longest look-back of values, and the waiting rows in chunks, one per trigger and
+    ``slot``. A trigger writes its new rows and removes what it emits; chunks that wait are not written again. Timers
+    wake a series when its first waiting row is due.
     """
+    spark = rows.sparkSession
+    spark.conf.set(STATE_STORE, ROCKS)
     depth = max([*lags, *means, *stds])
     field = T.StructField(series, rows.schema[series].dataType)
     output = lag_schema(field, lags, means, stds, prefix)
-    state_schema = T.StructType(
-        [
-            T.StructField("past", T.ArrayType(T.DoubleType())),
-            T.StructField("at", T.ArrayType(T.LongType())),
-            T.StructField("row_key", T.ArrayType(T.LongType())),
-            T.StructField("value", T.ArrayType(T.DoubleType())),
-        ]
-    )
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, at, keys, values = ([list(part) for part in state.get] if state.exists else [[], [], [], []])
-        for batch in batches:
-            at += batch["at_us"].tolist()
-            keys += batch["row_key"].tolist()
-            values += batch["value"].tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        waiting = sorted(zip(at, keys, values, strict=True))
-        ready = [row for row in waiting if row[0] <= passed]
-        rest = waiting[len(ready) :]
-        if ready:
-            known = np.array(past + [row[2] for row in ready], dtype="float64")
-            columns = _features_of(known, len(past), lags, means, stds)
-            frame = {series: [key[0]] * len(ready)}
-            frame |= {"at_us": [r[0] for r in ready], "row_key": [r[1] for r in ready], "value": [r[2] for r in ready]}
-            frame |= dict(zip(output.names[4:], columns, strict=True))
-            past = known[-depth:].tolist()
-            yield pd.DataFrame(frame)
-        state.update((past, [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest]))
-        if rest:
-            state.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
+    processor = LagProcessor(series, output.names, depth, lags, means, stds, slot_us)
     placed = rows.withWatermark(ts, watermark).select(
         quoted(series).alias(series),
         quoted(ts).alias(ts),
@@ -174,9 +159,71 @@ def lag_stream(
         quoted(row_key).cast("bigint").alias("row_key"),
         quoted(value).cast("double").alias("value"),
     )
-    return placed.groupBy(series).applyInPandasWithState(
-        advance, output, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return placed.groupBy(series).transformWithStateInPandas(processor, output, "append", "EventTime")
+
+
+class LagProcessor(StatefulProcessor):
+    """State and timers of one series: ``past`` values, ``chunks`` of waiting rows, when the next ones are ``due``."""
+
+    def __init__(self, series, names, depth, lags, means, stds, slot_us) -> None:
+        self.series, self.names, self.depth, self.slot_us = series, names, depth, slot_us
+        self.spans = (lags, means, stds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.past = handle.getValueState("past", "packed binary")
+        self.marks = handle.getValueState("marks", "due bigint, chunks bigint")
+        self.chunks = handle.getMapState("chunks", "slot bigint, number bigint", "packed binary")
+
+    def wake(self, at_us: int, number: int, due: int | None) -> None:
+        """Set the timer to the millisecond after ``at_us`` unless it is set earlier already."""
+        wanted = at_us // 1000 + 1
+        if due is None or wanted < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(wanted)
+            due = wanted
+        self.marks.update((due, number))
+
+    def handleInputRows(self, key, rows, timerValues):
+        batches = list(rows)
+        waiting = np.concatenate([_packed_rows(b["at_us"], b["row_key"], b["value"]) for b in batches])
+        due, number = self.marks.get() if self.marks.exists() else (None, 0)
+        waiting = waiting[np.argsort(waiting["at"], kind="stable")]
+        slots = waiting["at"] // self.slot_us
+        bounds = np.flatnonzero(np.diff(slots, prepend=slots[0] - 1, append=slots[-1] + 1))
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            self.chunks.updateValue((int(slots[a]), number), (waiting[a:b].tobytes(),))
+        self.wake(int(waiting["at"][0]), number + 1, due)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        _, number = self.marks.get()
+        named = sorted(self.chunks.keys())
+        open_ = [name for name in named if name[0] * self.slot_us <= passed]
+        held = [np.frombuffer(self.chunks.getValue(name)[0], ROW) for name in open_]
+        for name in open_:
+            self.chunks.removeKey(name)
+        rows = np.sort(np.concatenate([np.empty(0, ROW), *held]), order=("at", "key"), kind="stable")
+        cut = int(np.searchsorted(rows["at"], passed, side="right"))
+        rest = rows[cut:]
+        if len(rest):
+            self.chunks.updateValue((int(rest["at"][0] // self.slot_us), number), (rest.tobytes(),))
+            self.wake(int(rest["at"][0]), number + 1, None)
+        elif len(open_) < len(named):
+            self.wake(named[len(open_)][0] * self.slot_us, number, None)
+        else:
+            self.marks.update((None, number))
+        if cut:
+            past = np.frombuffer(self.past.get()[0], np.float64) if self.past.exists() else np.empty(0)
+            known = np.concatenate([past, rows["value"][:cut]])
+            self.past.update((known[-self.depth :].tobytes(),))
+            columns = [rows["at"][:cut], rows["key"][:cut], rows["value"][:cut], *_features_of(known, len(past), *self.spans)]
+            yield pd.DataFrame({self.series: [key[0]] * cut} | dict(zip(self.names[1:], columns, strict=True)))
+
+    def close(self) -> None:
+        pass
 
 
 # --- Monitoring ---------------------------------------------------------------------------
@@ -234,6 +281,48 @@ def dedup_stream(rows: DataFrame, keys: Sequence[str], ts: str, watermark: str)
     return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
+# --- Sessions and late rows ---------------------------------------------------------------
+
+MARK_SCHEMA = "latest timestamp, accepted bigint, late bigint"
+
+
+def session_stream(rows: DataFrame, keys: Sequence[str], ts: str, gap: str, watermark: str, value: str) -> DataFrame:
+    """Sessions per key: keys, session_start, session_end (the last row's time plus the gap), rows, total of a value.
+
+    A row belongs to a session if it comes less than ``gap`` after the row before; a session comes out once the
+    watermark has passed its end.
+    """
+    session = F.session_window(quoted(ts), gap)
+    counted = rows.withWatermark(ts, watermark).groupBy(*[quoted(k) for k in keys], session.alias("_session")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(quoted(value)).alias("total")
+    )
+    return counted.select(*[quoted(k) for k in keys], F.col("_session.start").alias("session_start"), F.col("_session.end").alias("session_end"), "rows", "total")
+
+
+def late_split_stream(rows: DataFrame, ts: str, delay: str, accepted_path: str, late_path: str, marks_path: str) -> DataStreamWriter:
+    """Rows no older than ``delay`` behind the latest time of earlier batches go one way, the others to a sink of their own.
+
+    What a watermark would drop unseen is kept and counted: each batch leaves one row with the latest time and how many
+    rows went where. Rows without a time are late. A repeated batch replaces its own parts.
+    """
+    spark = rows.sparkSession
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        earlier = read_table(spark, marks_path, f"{MARK_SCHEMA}, batch_id bigint").filter(F.col("batch_id") < batch_id)
+        latest = earlier.agg(F.max("latest").alias("latest")).first()["latest"]
+        bound = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        in_time = quoted(ts).isNotNull() & (F.lit(latest is None) | (quoted(ts) > bound))
+        kept = F.coalesce(in_time, F.lit(False))
+        with held(batch):
+            replace_batch(batch.filter(kept), accepted_path, batch_id)
+            replace_batch(batch.filter(~kept), late_path, batch_id)
+            top = F.greatest(F.max(quoted(ts)).cast("timestamp"), F.lit(latest).cast("timestamp"))
+            counts = batch.agg(top.alias("latest"), F.count_if(kept).alias("accepted"), F.count_if(~kept).alias("late"))
+            replace_batch(counts, marks_path, batch_id)
+
+    return rows.writeStream.foreachBatch(store)
+
+
 def start_to_table(df: DataFrame, path: str, checkpoint: str, **options: Any) -> StreamingQuery:
     """Append a stream to Parquet until its input is used up."""
     return run_available(df.writeStream.format("parquet").option("path", path).options(**options), checkpoint)

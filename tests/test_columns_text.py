@@ -22,6 +22,7 @@ def one(spark, value, expression, kind="string"):
 @pytest.mark.parametrize(
     "raw, cleaned",
     [
+        # The first five pairs are exact expectations of the specification.
         ("<b>The Apple iPhone!</b> Visit https://example.com with A18 chip.", "apple iphone visit a18 chip"),
         ("THE Phone!!!", "phone"),
         ("<p>Latest phone with charger.</p>", "latest phone charger"),

@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: a MinHash LSH forest, then exact verification inside candidate classes."""
+"""Similarity join on word shingles: MinHash banding (a trie node per tree and prefix), then exact verification inside candidate classes."""
 
 from __future__ import annotations
 
@@ -34,10 +34,9 @@ MEMBERS_PER_TASK = 50_000
 
 
 def prefix_depth(similarity: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair of the wanted similarity shares a trie node with the target recall.
+    """The longest prefix at which a pair of the wanted similarity shares a node with the target recall.
 
-    Prefixes start at full length and are shortened until 1 - (1 - s^k)^trees reaches the recall; nodes
-    of a shorter prefix hold those of all longer ones.
+    One length for all trees, from 1 - (1 - s^k)^trees: this is banding, prefixes do not adapt to the data.
     """
     k = depth
     while k > 1 and 1.0 - (1.0 - similarity**k) ** trees < recall:

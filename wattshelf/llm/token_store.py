@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattshelf.llm.common import mix64, parts_for
+from wattshelf.operators.joins import interval_join
 from wattshelf.session import materialise
 
 END_ID = 1
@@ -23,6 +24,7 @@ SHARD_TEXT_BYTES = 24 << 20
 MAGIC = b"WSIDS001"
 CACHE_WORDS = 700_000
 KEYS_PER_SEED = 4
+KEYS_PER_CALL = 1_000_000
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Characters that are one of ``LETTERS`` in lower case: a full stop or comma after them is a piece of its own.
 BEFORE_STOP = frozenset(c for c in map(chr, range(0x250)) if LETTERS.fullmatch(c.lower()))
@@ -318,8 +320,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """Keyed access: (doc_id, ids) for every record whose key is in ``keys``; absent keys give no row.
 
-    The directory has one row per shard (its key range). Keys go to the shards whose range holds them, and
-    each shard answers through its index.
+    The directory has one row per shard (its key range). Keys go to the shards whose range holds them by an interval
+    join on bins, and each shard answers through its index, for at most about ``KEYS_PER_CALL`` keys at a time.
     """
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +344,11 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
 
     files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"))
     directory = files.mapInArrow(head, "path string, first bigint, last bigint")
-    distinct = keys.select(F.col(key).cast("bigint").alias("_key")).filter("_key IS NOT NULL").distinct()
+    distinct = materialise(keys.select(F.col(key).cast("bigint").alias("_key")).filter("_key IS NOT NULL").distinct(), "lookup-keys")
+    parts = parts_for(distinct.count(), KEYS_PER_CALL)
     wanted = (
-        directory.join(distinct, (F.col("_key") >= F.col("first")) & (F.col("_key") <= F.col("last")))
-        .groupBy(F.col("path").alias("_path"))
+        interval_join(distinct, directory, "_key", "first", "last")
+        .groupBy(F.col("path").alias("_path"), F.pmod(F.xxhash64("_key"), F.lit(parts)).alias("_part"))
         .agg(F.collect_list("_key").alias("_keys"))
     )
     return files.join(wanted, F.col("path") == F.col("_path")).select("content", "_keys").mapInArrow(

@@ -175,7 +175,20 @@ def level_sums(
     classes = g.shape[1]
     totals = np.zeros((classes * nodes, 2))
     kept: list[list[np.ndarray]] = [[], [], []]
-    for k in range(classes):
+    if usable is None:  # the root: every class sums the same cells, all at once
+        totals[:, 0], totals[:, 1] = g.sum(0), h.sum(0)
+        code = features.astype(np.int64) * 256 + bins
+        cell = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+        if len(cell):
+            code, sums = code[cell], [np.add.reduceat(x[rows], cell, axis=0) for x in (g, h)]
+            at = np.searchsorted(code, columns.astype(np.int64) * 256)
+            weight = np.add.reduceat(sums[1], at, axis=0) + elsewhere[columns][:, None]
+            likely = np.repeat(weight >= least_weight * (1 - 1e-9), np.diff(np.append(at, len(code))), axis=0)
+            for k in range(classes):
+                chosen = np.flatnonzero(likely[:, k])
+                for held, values in zip(kept, (k * width * 256 + code[chosen], sums[0][chosen, k], sums[1][chosen, k])):
+                    held.append(values)
+    for k in range(classes if usable is not None else 0):
         if not open_nodes[k].any():
             continue
         at = route(block, feature[k], least[k], first) - first
@@ -183,14 +196,9 @@ def level_sums(
         inside = at >= 0
         for i, values in enumerate((g, h)):
             totals[k * nodes : (k + 1) * nodes, i] = np.bincount(at[inside], values[inside, k], nodes)
-        if usable is None:
-            likely = np.bincount(features, h[rows, k], width) + elsewhere >= least_weight * (1 - 1e-9)
-        else:
-            likely = usable[k]
-        chosen = np.flatnonzero(likely[features])
-        if nodes > 1:
-            chosen = chosen[inside[rows[chosen]]]
-            chosen = chosen[np.argsort(at[rows[chosen]].astype(np.int16), kind="stable")]
+        chosen = np.flatnonzero(usable[k][features])
+        chosen = chosen[inside[rows[chosen]]]
+        chosen = chosen[np.argsort(at[rows[chosen]].astype(np.int16), kind="stable")]
         r = rows[chosen]
         keys = ((k * nodes + at[r].astype(np.int64)) * width + features[chosen]) * 256 + bins[chosen]
         for held, values in zip(kept, summed(keys, g[r, k], h[r, k])):

@@ -201,7 +201,13 @@ def prepare(df: DataFrame, settings: TrainingSettings) -> tuple[DataFrame, tuple
 
 
 def training_frames(df: DataFrame, settings: TrainingSettings) -> TrainingFrames:
-    """Prepared, split and vectorised rows, written once so that every fit reads the same."""
+    """Prepared, split and vectorised rows, written once so that every fit reads the same.
+
+    The vocabulary becomes part of the model, so it needs a bound: ``max_features=None`` is refused here (see
+    ``tfidf.tfidf_rows`` for the form without one).
+    """
+    if settings.max_features is None:
+        raise ValueError("training needs a bound on the vocabulary (max_features)")
     prepared, text_columns, category, sub_category = prepare(df, settings)
     prepared = materialise(prepared)
     if not label_profile(prepared, "label").first()["trainable"]:

@@ -180,9 +180,11 @@ def level_sums(
         code = features.astype(np.int64) * 256 + bins
         cell = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
         if len(cell):
-            code, sums = code[cell], [np.add.reduceat(x[rows], cell, axis=0) for x in (g, h)]
+            upto = [np.cumsum(x[rows], axis=0) for x in (g, h)]
+            part_sums = lambda x, begin: np.diff(x[np.append(begin[1:], len(rows)) - 1], axis=0, prepend=0)
+            code, sums = code[cell], [part_sums(x, cell) for x in upto]
             at = np.searchsorted(code, columns.astype(np.int64) * 256)
-            weight = np.add.reduceat(sums[1], at, axis=0) + elsewhere[columns][:, None]
+            weight = part_sums(upto[1], starts[:-1]) + elsewhere[columns][:, None]
             likely = np.repeat(weight >= least_weight * (1 - 1e-9), np.diff(np.append(at, len(code))), axis=0)
             for k in range(classes):
                 chosen = np.flatnonzero(likely[:, k])

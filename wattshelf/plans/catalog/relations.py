@@ -78,21 +78,19 @@ def sketch_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions = v.predictions(spark, sf_dir)
     sketches = materialise(history.daily_sketches(predictions, "product_id", "confidence"), "sketches")
     shares = [i / 10 for i in range(1, 10)]
-    merged = history.merged_kpis(sketches, shares)
+    merged = history.merged_kpis(sketches, shares).first()  # one row: counts and nine quantiles
+    value, ranks, good = F.col("confidence"), [], F.lit(True)
+    for i, (share, quantile) in enumerate(zip(shares, merged["quantiles"], strict=True)):
+        ranks += [F.count_if(value < quantile).alias(f"below{i}"), F.count_if(value <= quantile).alias(f"upto{i}")]
+        good = good & (F.col(f"below{i}") <= (share + 0.02) * F.col("rows")) & (F.col(f"upto{i}") >= (share - 0.02) * F.col("rows"))
     exact = predictions.agg(
-        F.count_distinct("product_id").alias("exact_keys"), F.round(F.percentile("confidence", 0.5), 6).alias("exact_median")
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("product_id").alias("exact_keys"),
+        F.round(F.percentile("confidence", 0.5), 6).alias("exact_median"), *ranks,
     )
-    both = materialise(merged.crossJoin(exact), "kpis")
-    estimate = both.select("quantiles", F.col("rows").alias("all_rows"))
-    below = [F.count_if(F.col("confidence") < F.col("quantiles")[i]).alias(f"b{i}") for i in range(9)]
-    upto = [F.count_if(F.col("confidence") <= F.col("quantiles")[i]).alias(f"u{i}") for i in range(9)]
-    ranks = predictions.join(F.broadcast(estimate)).agg(F.max("all_rows").alias("n"), *below, *upto)
-    good = F.lit(True)
-    for i, share in enumerate(shares):
-        good = good & (F.col(f"b{i}") <= (share + 0.02) * F.col("n")) & (F.col(f"u{i}") >= (share - 0.02) * F.col("n"))
-    near = F.abs(F.col("distinct_keys") - F.col("exact_keys")) <= F.greatest(F.lit(1), 0.03 * F.col("exact_keys"))
-    return both.crossJoin(ranks).select(
-        "days", "rows", "exact_keys", near.alias("keys_in_bounds"), "exact_median", good.alias("deciles_in_bounds")
+    near = F.abs(F.lit(merged["distinct_keys"]) - F.col("exact_keys")) <= F.greatest(F.lit(1), 0.03 * F.col("exact_keys"))
+    return exact.select(
+        F.lit(merged["days"]).cast("bigint").alias("days"), F.lit(merged["rows"]).cast("bigint").alias("rows"), "exact_keys",
+        near.alias("keys_in_bounds"), "exact_median", good.alias("deciles_in_bounds"),
     )
 
 

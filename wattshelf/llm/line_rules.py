@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattshelf.functions.columns import quoted
-from wattshelf.llm.common import fresh, keep_rows, map_rows, space_words
+from wattshelf.llm.common import fresh, map_rows, space_words
 from wattshelf.session import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -156,6 +157,13 @@ def judge_documents(
     return verdicts, frequent
 
 
+def without_lines(text: str, bad) -> str:
+    """The text without the lines whose hash is in ``bad``; lines without words stay."""
+    rows = text.split("\n")
+    left = [row for row in rows if not row.strip(SPACES) or line_hash(row) not in bad]
+    return text if len(left) == len(rows) else "\n".join(left)
+
+
 def apply_rules(docs: DataFrame, **settings) -> DataFrame:
     """The kept rows of ``docs`` with lines above the limit cut from their texts; same columns.
 
@@ -164,37 +172,41 @@ def apply_rules(docs: DataFrame, **settings) -> DataFrame:
     empty; extra columns of any name pass through.
     """
     verdicts, frequent = judge_documents(docs, **settings)
-    key, text, source, lines = fresh(docs.columns, "_text_key", "_text", "_source", "_frequent")
+    key, text, touched, source, lines, *own = fresh(docs.columns, "_text_key", "_text", "_touched", "_source", "_frequent", "_doc", "_of", "_key")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    passed = verdicts.filter("kept").withColumnRenamed("text_key", key)
-    kept = keep_rows(keyed, passed, ["doc_id", "source", key])
-    by_source = frequent.groupBy(F.col("source").alias(source)).agg(F.collect_set("line").alias(lines))
-    if frequent.count() <= BROADCAST_LINES:
-        by_source = F.broadcast(by_source)
-    joined = kept.join(by_source, F.col("source").eqNullSafe(F.col(source)), "left")
-
-    @F.pandas_udf("string")
-    def cut(texts, sets):
-        held: dict[bytes, set] = {}
-        out = []
-        for text, lines in zip(texts, sets):
-            if text is None or lines is None or not len(lines):
-                out.append(text)
-                continue
-            key = lines.tobytes()
-            bad = held.setdefault(key, set(lines.tolist()))
-            rows = text.split("\n")
-            left = [row for row in rows if not row.strip(SPACES) or line_hash(row) not in bad]
-            out.append(text if len(left) == len(rows) else "\n".join(left))
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    changed = F.when(F.col(lines).isNotNull(), cut("text", lines)).otherwise(F.col("text"))
+    passed = verdicts.filter("kept").select(
+        F.col("doc_id").alias(own[0]), F.col("source").alias(own[1]), F.col("text_key").alias(own[2]), (F.col("removed_words") > 0).alias(touched)
+    ).distinct()
+    same = keyed["doc_id"].eqNullSafe(passed[own[0]]) & keyed["source"].eqNullSafe(passed[own[1]]) & (keyed[key] == passed[own[2]])
+    kept = keyed.join(passed, same)
+    if frequent.count() <= BROADCAST_LINES:  # few lines: sets per source go to the tasks once, not with every row
+        held: dict[str | None, set] = {}
+        for row in frequent.select(F.col("source").cast("string").alias("s"), "line").collect():
+            held.setdefault(row["s"], set()).add(row["line"])
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series, sources: pd.Series) -> pd.Series:
+            sets = shared.value
+            out = [None if t is None else without_lines(t, sets.get(s, ())) for t, s in zip(texts, sources)]
+            return pd.Series(out, dtype=object)
+
+        changed = cut(F.when(F.col(touched), F.col("text")), F.col("source").cast("string"))
+    else:
+        by_source = frequent.groupBy(F.col("source").alias(source)).agg(F.collect_set("line").alias(lines))
+        kept = kept.join(by_source, keyed["source"].eqNullSafe(F.col(source)), "left")
+
+        @F.pandas_udf("string")
+        def cut_listed(texts: pd.Series, listed: pd.Series) -> pd.Series:
+            out = [None if t is None else without_lines(t, set(bad.tolist())) for t, bad in zip(texts, listed)]
+            return pd.Series(out, dtype=object)
+
+        changed = cut_listed(F.when(F.col(touched), F.col("text")), F.when(F.col(touched), F.col(lines)))
+    cut_text = F.coalesce(F.col(text), F.col("text"))
     columns = [
-        F.col(text).alias("text") if c == "text"
+        cut_text.alias("text") if c == "text"
         else F.when(F.col(text) != F.col("text"), F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
         else quoted(c)
         for c in docs.columns
     ]
-    return joined.withColumn(text, changed).select(*columns)
+    return kept.withColumn(text, changed).select(*columns)

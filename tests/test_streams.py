@@ -10,6 +10,7 @@ from wattshelf.operators import drift, history
 from wattshelf.operators.product_quality import QualityRules, with_row_flags
 from wattshelf.operators.series_features import history_features
 from wattshelf.plans import classify
+from wattshelf.plans.catalog.streams import table_stream
 from wattshelf.streaming import streams
 
 START = datetime(2024, 1, 1)
@@ -144,3 +145,17 @@ def test_dedup(spark, tmp_path):
     kept = streams.dedup_stream(stream_of(spark, path, READINGS), ["series", "ts"], "ts", "1 hour")
     streams.start_to_table(kept, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path, files):
+    rows = readings(9)
+    folder = tmp_path / "parts"
+    spark.createDataFrame(rows, READINGS).repartition(files or 1).write.parquet(str(folder))
+    if files:
+        folder.rename(tmp_path / "events.parquet")
+    else:
+        next(folder.glob("*.parquet")).rename(tmp_path / "events.parquet")
+    out = str(tmp_path / "out")
+    streams.start_to_table(table_stream(spark, str(tmp_path), "events"), out, str(tmp_path / "ck"))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == rows

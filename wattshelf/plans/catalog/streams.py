@@ -18,8 +18,9 @@ from wattshelf.streaming import streams
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, one file or a folder of files, as a stream; the path is a pattern, as a stream refuses a plain file."""
     schema = v.load(spark, sf_dir, name).schema
-    return streams.file_stream(spark, sf_dir, schema, f"{name}.parquet")
+    return streams.file_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parque[t]", schema, "*")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, closing: str) -> DataFrame:

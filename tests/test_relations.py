@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wattshelf.operators import history
 from wattshelf.operators.joins import asof_join, interval_join
-from wattshelf.operators.series_features import rolling_time
+from wattshelf.operators.series_features import rolling_time, spread_over_time
 from wattshelf.operators.versions import dataset_diff
 from wattshelf.sources.json_records import variant_records
 from wattshelf.sources.tables import last_ids, write_bucketed, write_scored_batch
@@ -79,6 +79,14 @@ def test_time_frames_over_gaps_and_cut_blocks(spark, rows_per_block):
         assert got[i]["w_mean"] == (pytest.approx(sum(seen) / len(seen)) if seen else None)
 
 
+def test_dense_rows_reach_one_later_block_at_most(spark):
+    keyed = spark.range(4000).select((F.col("id") * 10.0).alias("_at"))
+    spread = spread_over_time(keyed, 6000, 50)
+    own = spread.filter("_copy = _block")
+    assert own.count() == 4000 and own.agg(F.count_distinct("_block")).first()[0] > 2
+    assert spread.agg(F.max(F.col("_copy") - F.col("_block"))).first()[0] == 1
+
+
 def test_differences_of_versions(spark):
     schema = "a int, b string, c double"
     old = spark.createDataFrame([(1, "x", 1.0)] * 3 + [(2, None, None), (None, "y", None), (4, "z", 2.0)], schema)

@@ -79,6 +79,22 @@ def build_features(
     return drop_incomplete(featured) if dropna else featured
 
 
+def spread_over_time(keyed: DataFrame, span: int, rows_per_block: int) -> DataFrame:
+    """Rows with a number ``_at`` once per block of time, ``_copy``, of their own ``_block`` and the later ones that ``span`` reaches.
+
+    Blocks have about equal depth but for the first are no narrower than the span, so a row stands in two at most, however dense
+    the rows are.
+    """
+    found = keyed.agg(F.count(F.lit(1)).alias("rows"), (F.max("_at") - F.min("_at")).alias("range")).first()
+    blocks = max(1, min(math.ceil(found["rows"] / rows_per_block), int((found["range"] or 0) // span) + 1))
+    edges: list[float] = []
+    for edge in profile_columns(keyed, ["_at"], blocks)["_at"].edges if blocks > 1 else ():
+        if not edges or edge - edges[-1] >= span:
+            edges.append(edge)
+    reach = with_bin(keyed, "_at", edges, "_block").withColumn("_until", F.col("_at") + F.lit(float(span)))
+    return with_bin(reach, "_until", edges, "_to").withColumn("_copy", F.explode(F.sequence("_block", "_to")))
+
+
 def rolling_time(
     df: DataFrame,
     ts: Column,
@@ -90,16 +106,12 @@ def rolling_time(
     """Count, mean and deviation of the earlier readings inside a time span: <name>_rows, <name>_mean, <name>_std.
 
     For series with gaps, where a number of rows is no measure of time. A span looks back from just before a
-    row's time. Rows are cut into blocks of time of about equal depth, and a row also goes to every later block that its
-    span reaches, where it is dropped again after the window: the halo is measured in time. Null times have no span
+    row's time. Rows are cut into blocks of time, and a row also goes to the next block where its longest span reaches it
+    (``spread_over_time``) and is dropped there again after the window: the halo is measured in time. Null times have no span
     and empty statistics; readings at one time do not see each other; missing readings are not counted.
     """
     keyed = df.withColumns({"_at": micros(ts).cast("double")})
-    longest = max(spans_us.values())
-    blocks = max(1, math.ceil(df.count() / rows_per_block))
-    edges = profile_columns(keyed, ["_at"], blocks)["_at"].edges if blocks > 1 else ()
-    reach = with_bin(keyed, "_at", edges, "_block").withColumn("_until", F.col("_at") + F.lit(float(longest)))
-    spread = with_bin(reach, "_until", edges, "_to").withColumn("_copy", F.explode(F.sequence("_block", "_to")))
+    spread = spread_over_time(keyed, max(spans_us.values()), rows_per_block)
     placed = Window.partitionBy(*[quoted(name) for name in series], "_copy").orderBy(F.col("_at").cast("bigint"))
     value, columns = quoted(target), {}
     for name, span in spans_us.items():

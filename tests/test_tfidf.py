@@ -74,6 +74,16 @@ def test_joined_form_and_uncapped_vocabulary(spark):
     assert got.keys() == cells.keys() and all(math.isclose(got[k], cells[k]) for k in cells)
 
 
+def test_texts_are_shuffled_and_their_terms_are_not(spark):
+    rows = corpus(spark, [*NAMES, NAMES[0]]).withColumn("id", F.when(F.col("id") > 0, F.col("id") % 3))
+    counted = tfidf.term_frequencies(rows, "id", "corpus", EVERYTHING)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    got = {(r["id"], r["term"]): r["tf"] for r in counted.collect()}
+    assert got[None, "iphone"] == 1 and got[1, "samsung phone"] == 1 and got[0, "iphone"] == 1
+    assert len(got) == counted.count() and sum(got.values()) == 3 * 7 + 7  # four words and three pairs in each of four texts
+
+
 def test_cap_takes_most_frequent_terms(spark):
     counts = spark.range(2000).select(
         F.format_string("t%04d", F.col("id")).alias("term"), (F.col("id") % 700 + 1).alias("cf"), F.lit(1).alias("df")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattshelf.operators import history
-from wattshelf.operators.joins import asof_join, interval_join
+from wattshelf.operators.joins import asof_join, interval_bins, interval_join
 from wattshelf.operators.series_features import rolling_time, spread_over_time
 from wattshelf.operators.versions import dataset_diff
 from wattshelf.sources.json_records import variant_records
@@ -64,6 +64,14 @@ def test_interval_join_equals_brute_force_without_nested_loop(spark):
     assert interval_join(left.limit(0), right, "v", "lo", "hi").count() == 0 == interval_join(left, right.limit(0), "v", "lo", "hi").count()
 
 
+def test_a_point_is_held_against_few_intervals(spark):
+    assert interval_bins(600_000, 20_000) == 1250 and interval_bins(10**12, 10**9) == 16_384 and interval_bins(5, 3) == 256
+    points = spark.range(20_000).select(F.col("id").alias("p"), F.col("id").cast("double").alias("v"))
+    rules = spark.range(20_000).select(F.col("id").alias("r"), F.col("id").cast("double").alias("lo"), F.col("id").cast("double").alias("hi"))
+    joined = interval_join(points, rules, "v", "lo", "hi")
+    assert joined.filter("p = r").count() == joined.count() == 20_000
+
+
 @pytest.mark.parametrize("rows_per_block", [9, 1_000_000])
 def test_time_frames_over_gaps_and_cut_blocks(spark, rows_per_block):
     rng = random.Random(3)

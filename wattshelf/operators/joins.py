@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from wattshelf.functions.columns import finite, quoted
 from wattshelf.functions.series import micros
-from wattshelf.operators.ranks import bins_for, profile_columns, with_bin
+from wattshelf.operators.ranks import MAX_BINS, bins_for, profile_columns, with_bin
+
+#: Intervals that a point is held against, about, while their number needs no more than ``MAX_BINS`` bins.
+INTERVALS_PER_BIN = 16
 
 
 def asof_join(
@@ -65,6 +68,11 @@ def asof_join(
     return joined.select("_left.*", *[F.col("_match")[c].alias(c) for c in take])
 
 
+def interval_bins(rows: int, intervals: int) -> int:
+    """Bins for a join of points and intervals: as many as keep both the points and the intervals of one few."""
+    return max(bins_for(rows), min(MAX_BINS, math.ceil(intervals / INTERVALS_PER_BIN)))
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -76,13 +84,13 @@ def interval_join(
     """Pairs of a point and an interval with low <= value <= high, all columns of both.
 
     An equi-join on bins: edges of about equal depth cut the values, each interval is repeated for the bins that it
-    covers (``bins`` of them at most), each point has one; the bounds are tested after. A null bound is
-    open; null and NaN values, and intervals that end before they start, match nothing.
+    covers (``bins`` of them at most), each point has one; the bounds are tested after, for each pair in a bin, so the bins
+    grow with the intervals. A null bound is open; null and NaN values, and intervals that end before they start, match nothing.
     """
     as_column = lambda c: (quoted(c) if isinstance(c, str) else c).cast("double")
     keyed = points.withColumn("_value", finite(as_column(value)))
     rows = keyed.count()
-    edges = profile_columns(keyed, ["_value"], bins or min(1024, bins_for(rows)))["_value"].edges if rows else ()
+    edges = profile_columns(keyed, ["_value"], bins or interval_bins(rows, intervals.count()))["_value"].edges if rows else ()
     binned = with_bin(keyed.filter(F.col("_value").isNotNull()), "_value", edges, "_bin")
     bounded = intervals.withColumns(
         {"_low": F.coalesce(as_column(low), F.lit(-math.inf)), "_high": F.coalesce(as_column(high), F.lit(math.inf))}

@@ -134,3 +134,27 @@ def test_features_and_model_survive_storage(spark, tmp_path):
 def test_terms_are_tokenised_once(spark):
     plan = tfidf.term_statistics(corpus(spark), "corpus", EVERYTHING)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("words_per_block", [1, 7, 1 << 20])
+@pytest.mark.parametrize("ngram_range", [(1, 1), (1, 2), (2, 3)])
+def test_terms_are_counted_in_blocks_of_texts(spark, words_per_block, ngram_range):
+    texts = ["aa bb aa bb aa", None, "", "bb", "x aa bb", "aa bb aa bb aa", "cc " * 9, "dd aa"]
+    labels = ["u", "u", None, "v", None, "v", "u", "u"]
+    rows = spark.createDataFrame(list(zip(texts, labels)), "corpus string, label string").repartition(2)
+    expected = {}
+    for text, label in zip(texts, labels):
+        words = [w for w in (text or "").split() if len(w) > 1]
+        grams = Counter(" ".join(words[i : i + n]) for n in range(ngram_range[0], ngram_range[1] + 1) for i in range(len(words) - n + 1))
+        for term, times in grams.items():
+            df, cf = expected.get((label, term), (0, 0))
+            expected[label, term] = (df + 1, cf + times)
+    settings = tfidf.TfidfSettings(ngram_range=ngram_range, min_df=1, max_df=1.0)
+    got = tfidf.term_statistics(rows, "corpus", settings, ["label"], words_per_block)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row per occurrence
+    found = got.collect()
+    assert {(r["label"], r["term"]): (r["df"], r["cf"]) for r in found} == expected and len(found) == len(expected)
+    whole = {r["term"]: r["cf"] for r in tfidf.term_statistics(rows, "corpus", settings, words_per_block=words_per_block).collect()}
+    assert whole == {t: sum(cf for (_, u), (_, cf) in expected.items() if u == t) for _, t in expected}
+    again = tfidf.fit_vocabulary(rows, "corpus", settings, got).collect()
+    assert sorted(again) == sorted(tfidf.fit_vocabulary(rows, "corpus", settings).collect())

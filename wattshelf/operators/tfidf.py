@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattshelf.functions.columns import quoted
 from wattshelf.functions.fixed_values import MAX_DF, MAX_FEATURES, MIN_DF, NGRAM_RANGE
@@ -51,27 +56,80 @@ def term_frequencies(df: DataFrame, key: str, corpus: str, settings: TfidfSettin
     )
 
 
-def term_statistics(df: DataFrame, corpus: str, settings: TfidfSettings) -> DataFrame:
-    """(term, df, cf) with a single shuffle on the term.
+def counted_block(words: pa.Array, group: np.ndarray, groups: int, ngram_range: tuple[int, int]):
+    """(names, group, df, cf) per n-gram size of the lists ``words``, whose lists belong to ``group`` (codes below ``groups``).
 
-    Each text contributes its terms once for the corpus count and its distinct terms once for
-    the document count; no (document, term) pairs are shuffled.
+    n-grams are pairs of integer codes; only the different ones become text.
     """
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    encoded = words.flatten().dictionary_encode()
+    single, singles = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+    low, high = ngram_range
+    starts, codes, names, width = np.arange(len(owner)), single, singles, max(len(singles), 1)
+    for size in range(1, high + 1):
+        if size > 1:  # a gram one word shorter, whose code is known, and the word after it
+            longer = starts + size - 1 < len(owner)
+            longer[longer] = owner[starts[longer]] == owner[starts[longer] + size - 1]
+            starts = starts[longer]
+            pairs, codes = np.unique(codes[longer] * width + single[starts + size - 1], return_inverse=True)
+            names = pc.binary_join_element_wise(names.take(pa.array(pairs // width)), singles.take(pa.array(pairs % width)), " ")
+        texts = owner[starts]
+        if size < low or not len(codes):
+            continue
+        # occurrences per (term, text), then texts and occurrences per (term, group)
+        held, times = np.unique(codes * len(sizes) + texts, return_counts=True)
+        cells, at = np.unique(held // len(sizes) * groups + group[held % len(sizes)], return_inverse=True)
+        yield names.take(pa.array(cells // groups)), cells % groups, np.bincount(at), np.bincount(at, times).astype(np.int64)
+
+
+def count_terms(batches, ngram_range: tuple[int, int], words_per_block: int):
+    """Arrow batches of (words, group columns...) to (term, df, cf, group columns...), counted over blocks of texts."""
+
+    def counted(block: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(block).combine_chunks()
+        by, keys = table.column_names[1:], [table.column(i).combine_chunks() for i in range(1, table.num_columns)]
+        group, groups = np.zeros(table.num_rows, np.int64), 1
+        for key in keys:
+            code = key.dictionary_encode(null_encoding="encode")
+            group = group * len(code.dictionary) + code.indices.to_numpy(zero_copy_only=False)
+            groups *= len(code.dictionary)
+        _, first, group = np.unique(group, return_index=True, return_inverse=True)
+        for names, cell, df, cf in counted_block(table.column(0).combine_chunks(), group, len(first), ngram_range):
+            shown = [key.take(pa.array(first[cell])) for key in keys]
+            yield pa.RecordBatch.from_arrays([names, pa.array(df), pa.array(cf), *shown], ["term", "df", "cf", *by])
+
+    block, held = [], 0
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + words_per_block - held, side="right")))
+            block.append(batch.slice(at, end - at))
+            held += int(upto[end - 1]) - before
+            at = end
+            if held >= words_per_block or at < batch.num_rows:
+                yield from counted(block)
+                block, held = [], 0
+    if block:
+        yield from counted(block)
+
+
+def term_statistics(
+    df: DataFrame, corpus: str, settings: TfidfSettings, by: Sequence[str] = (), words_per_block: int = 1 << 20
+) -> DataFrame:
+    """(term, df, cf), per ``by`` if named, with a single shuffle on the term.
 
-    def with_distinct(bound: Column) -> Column:
-        both = F.concat(bound, F.array_distinct(bound))
-        return F.struct(both.alias("terms"), F.size(bound).alias("n"))
-
-    held = F.element_at(F.transform(F.array(terms_of(quoted(corpus), settings)), with_distinct), 1)
-    spread = df.select(held.alias("t")).select(
-        F.col("t.n").alias("n"), F.posexplode_outer("t.terms").alias("pos", "term")
-    )
-    occurs = F.col("pos") < F.col("n")  # the distinct terms follow the occurrences
-    return (
-        spread.filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.count_if(~occurs).alias("df"), F.count_if(occurs).alias("cf"))
-    )
+    Words leave the JVM as Arrow lists; blocks of texts with about ``words_per_block`` words are counted in their task, and
+    only the different terms of a block are shuffled.
+    """
+    words = df.select(tokens(quoted(corpus)).alias("words"), *[quoted(name) for name in by])
+    schema = T.StructType.fromDDL("term string, df bigint, cf bigint")
+    for name in by:
+        schema = schema.add(df.schema[name])
+    blocks = words.mapInArrow(partial(count_terms, ngram_range=settings.ngram_range, words_per_block=words_per_block), schema)
+    return blocks.groupBy(*[quoted(name) for name in by], "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def document_bounds(n: int, settings: TfidfSettings) -> tuple[float, float]:
@@ -114,12 +172,19 @@ def most_frequent(statistics: DataFrame, k: int) -> DataFrame:
     return candidates.orderBy(*order).limit(k)
 
 
-def fit_vocabulary(df: DataFrame, corpus: str, settings: TfidfSettings | None = None) -> DataFrame:
-    """(term, term_idx, df, cf, idf): filtered, capped, indexed alphabetically."""
+def fit_vocabulary(df: DataFrame, corpus: str, settings: TfidfSettings | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """(term, term_idx, df, cf, idf): filtered, capped, indexed alphabetically.
+
+    ``counted`` are the term statistics of the same texts where they are known already, per group or not.
+    """
     settings = settings or TfidfSettings()
     n = df.count()
     low, high = document_bounds(n, settings)
-    statistics = term_statistics(df, corpus, settings).filter(F.col("df").between(low, high))
+    if counted is None:
+        statistics = term_statistics(df, corpus, settings)
+    else:
+        statistics = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    statistics = statistics.filter(F.col("df").between(low, high))
     if settings.max_features is None:
         indexed = dense_index(statistics, [F.col("term")], "term_idx")
     else:

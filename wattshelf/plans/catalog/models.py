@@ -222,9 +222,9 @@ NB_TERMS = f"""WITH {v.VOCAB}, s AS (SELECT lang AS label, term, sum(tf) AS term
 def nb_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = tfidf.TfidfSettings()
     docs = materialise(v.corpus(spark, sf_dir).select(F.col("lang").alias("label"), "corpus"))
-    terms = materialise(tfidf.fit_vocabulary(docs, "corpus", settings))
-    occurrences = tfidf.exploded(docs, tfidf.terms_of(F.col("corpus"), settings), "term", ["label"])
-    parameters = classify.naive_bayes_parameters(occurrences, terms)
+    counted = materialise(tfidf.term_statistics(docs, "corpus", settings, by=["label"]))
+    terms = materialise(tfidf.fit_vocabulary(docs, "corpus", settings, counted))
+    parameters = classify.naive_bayes_parameters(counted.select("label", "term", F.col("cf").alias("term_sum")), terms)
     return parameters.withColumn("log_probability", F.round("log_probability", 6))
 
 

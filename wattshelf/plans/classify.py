@@ -409,12 +409,16 @@ def score_products(scorer: ProductScorer, requests: DataFrame) -> tuple[DataFram
 def naive_bayes_parameters(label_terms: DataFrame, terms: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """(label, term, log_probability): ``ln((sum + a) / (class sum + a * V))`` for every pair.
 
-    ``label_terms`` is (label, term) with a row per occurrence, ``terms`` the vocabulary. Occurrences are
-    counted before they are joined, so texts need no join. The result is the model's matrix; pairs that a
+    ``label_terms`` is (label, term) with a row per occurrence, or (label, term, term_sum) where they are counted; ``terms`` is the
+    vocabulary. Occurrences are counted before they are joined, so texts need no join. The result is the model's matrix; pairs that a
     class never uses come from the class list inside each term row.
     """
-    counted = label_terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("term_sum"))
-    sums = materialise(counted.join(terms.select("term"), "term"))
+    known = terms.select("term")
+    if "term_sum" in label_terms.columns:
+        sums = materialise(label_terms.join(known, "term").groupBy("label", "term").agg(F.sum("term_sum").alias("term_sum")))
+    else:
+        counted = label_terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("term_sum"))
+        sums = materialise(counted.join(known, "term"))
     classes = sums.groupBy("label").agg(F.sum("term_sum").alias("class_sum"))
     # The list of classes and the vocabulary size are single values, computed once as subqueries.
     roster = classes.agg(F.collect_list(F.struct("label", "class_sum"))).scalar()

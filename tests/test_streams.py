@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,80 @@ def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path, files):
     out = str(tmp_path / "out")
     streams.start_to_table(table_stream(spark, str(tmp_path), "events"), out, str(tmp_path / "ck"))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == rows
+
+
+class HeldInMemory:
+    """State, map and timers of one series in memory; counts the writes to chunks."""
+
+    def __init__(self):
+        self.value, self.held, self.timers, self.writes = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return HeldInMemory()
+
+    def getMapState(self, name, keys, schema):
+        return HeldInMemory()
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key], self.writes = value, self.writes + 1
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.value
+
+
+def test_a_sparse_series_waits_in_few_chunks():
+    hour, triggers = 3_600_000_000, 6
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.choice(4000, 900, replace=False)) * hour // 2 + 7
+    values = rng.random(900)
+    trigger = rng.integers(0, triggers, 900)
+    names = ["s", "at_us", "row_key", "value", "lag_1", "lag_3"]
+    processor = streams.LagProcessor("s", names, 3, (1, 3), (), (), hour, 64)
+    handle, mark = HeldInMemory(), HeldInMemory()
+    processor.init(handle)
+    out, late, passed = [], np.zeros(900, bool), -1
+    for n in range(triggers + 1):
+        now = (trigger == n) & (at > passed)
+        late |= (trigger == n) & ~now
+        if now.any():
+            rows = pd.DataFrame({"at_us": at[now], "row_key": np.flatnonzero(now), "value": values[now]})
+            assert list(processor.handleInputRows(("a",), iter([rows]), mark)) == []
+        mark.value = int(at[-1]) // 1000 + 1 if n == triggers else int(at[150 * n]) // 1000 + 1
+        passed = mark.value * 1000
+        before = sum(map(len, out))
+        while fired := sorted(t for t in handle.timers if t <= mark.value):
+            handle.timers.discard(fired[0])
+            out.extend(processor.handleExpiredTimer(("a",), mark, None))
+        arrived = ~late & (trigger <= n) & (at <= passed)
+        assert sum(map(len, out)) == arrived.sum() >= before  # nothing due is left waiting
+    got = pd.concat(out)
+    kept = np.flatnonzero(~late)
+    assert got["row_key"].tolist() == kept.tolist()
+    series = pd.Series(values[kept])
+    for k in (1, 3):
+        np.testing.assert_array_equal(got[f"lag_{k}"], series.shift(k))
+    assert not processor.chunks.held and processor.chunks.writes < 80  # a chunk a slot is a write for almost every row

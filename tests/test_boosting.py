@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from wattshelf.operators.boosting import BoostSettings, SoftmaxTrees, fit_softmax_trees
+from wattshelf.operators.boosting import BoostSettings, SoftmaxTrees, fit_softmax_trees, send_nodes
 
 
 def plain_booster(x, y, classes, rounds, depth, step=0.3, l2=1.0, least=1.0):
@@ -82,3 +82,24 @@ def test_awkward_rows(spark):
         fit_softmax_trees(data.limit(0))
     with pytest.raises(ValueError, match="negative"):
         fit_softmax_trees(spark.createDataFrame([(Vectors.dense([-1.0]), 0.0)], ["features", "label_index"]))
+
+
+def test_a_level_sends_a_byte_per_row_and_class():
+    """The sums stay in the parts of features: what a level shuffles does not depend on features or bins."""
+    n, classes = 1000, 4
+    empty = np.empty(0, np.int32)
+    block = (np.zeros(n, np.int32), empty, empty, empty, empty, np.zeros(1, np.int64))
+    current = np.full((classes, 3), -1, np.int32), np.zeros((classes, 3), np.int32), np.ones((classes, 2), bool)
+    current[0][:, 0] = 7
+    sent = send_nodes((5, block, None), current, 1, 3)
+    assert [i for i, _ in sent] == [0, 1, 2] and all(message[:2] == ("nodes", 5) for _, message in sent)
+    assert all(message[2].nbytes == n * classes and not message[2].any() for _, message in sent)
+
+
+def test_parts_of_features_give_the_trees_of_one_part(spark, toy):
+    x, y = toy
+    data = frame(spark, x, y, 5)
+    one = fit_softmax_trees(data, BoostSettings(rounds=6, depth=4))
+    many = fit_softmax_trees(data, BoostSettings(rounds=6, depth=4, rows_per_block=7, cells_per_part=20, least_cells=10, fold_rounds=2))
+    assert np.array_equal(one.feature, many.feature) and np.array_equal(one.cut, many.cut)
+    assert np.allclose(one.value, many.value, atol=1e-12)

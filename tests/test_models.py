@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from frames import CLASS_ROWS, class_frame, meter_frame
@@ -217,3 +218,22 @@ def test_queries_fit_with_default_features_rounds_and_depth():
     from wattshelf.plans.catalog import models
 
     assert models.SETTINGS == classify.TrainingSettings(key="doc_id", text_columns=("description",))
+
+
+def test_regressors_read_rows_dealt_over_all_cores(spark):
+    """A series that comes from one task, as from one row group, is fitted and scored by as many tasks as there are cores."""
+    seen = []
+
+    class Reader:
+        def fit(self, train):
+            seen.append((train.rdd.glom().map(len).collect(), train.count()))
+            return LinearRegression(solver="normal", featuresCol="features", labelCol="y").fit(train)
+
+    at = F.when(F.col("id") < 700, "train").when(F.col("id") < 850, "validation").otherwise("test")
+    rows = spark.range(0, 1000, 1, 1).select("id", (F.col("id") * 2.0).alias("y"), F.col("id").cast("double").alias("x"), at.alias("split"))
+    result = forecast.fit_and_compare(rows, "y", ["x"], [], {"linear": Reader()}, (), key="id")
+    sizes, total = seen[0]
+    cores = spark.sparkContext.defaultParallelism
+    assert total == sum(sizes) == 700 and len(sizes) >= cores and max(sizes) <= 2 * 700 / cores
+    found = result.predictions["linear"].collect()
+    assert sorted(r["id"] for r in found) == list(range(700, 1000)) and all(abs(r["prediction"] - r["y"]) < 1e-6 for r in found)

@@ -30,7 +30,7 @@ from wattshelf.operators.ranks import exact_quantiles
 from wattshelf.operators.series_features import build_features
 from wattshelf.operators.series_quality import SeriesRules, validate_series
 from wattshelf.operators.split import chronological_split
-from wattshelf.session import materialise
+from wattshelf.session import materialise, spread
 from wattshelf.sources.json_records import require_payloads
 
 LINEAR, FOREST, BOOSTED = REGRESSOR_ROSTER
@@ -195,8 +195,9 @@ def fit_and_compare(
     needed = split.select(*named, *[quoted(name) for name in dict.fromkeys((*numeric, *categorical, target))], "split")
     parts = {part: needed.filter(F.col("split") == part).drop("split") for part in PARTS}
     preprocessor = fit_preprocessor(parts["train"], numeric, categorical)
+    # A fit passes over these copies many times: they are dealt out evenly over all cores.
     ready = {
-        part: materialise(preprocessor.transform(frame).select(*named, "features", quoted(target)))
+        part: materialise(spread(preprocessor.transform(frame).select(*named, "features", quoted(target))))
         for part, frame in parts.items()
     }
     rows, models, predictions = [], {}, {}

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,7 @@ from wattshelf.functions.fixed_values import (
 )
 from wattshelf.operators.metrics import best_regressor, comparison_table, regression_metrics
 from wattshelf.operators.ranks import exact_quantiles
+from wattshelf.operators.regression_forest import RegressionForest, RegressionSettings
 from wattshelf.operators.series_features import build_features
 from wattshelf.operators.series_quality import SeriesRules, validate_series
 from wattshelf.operators.split import chronological_split
@@ -146,9 +147,7 @@ def candidate_regressors(
     columns = {"featuresCol": "features", "labelCol": target}
     return {
         LINEAR: LinearRegression(solver="normal", **columns),
-        FOREST: RandomForestRegressor(
-            numTrees=trees, maxDepth=15, minInstancesPerNode=2, seed=seed, cacheNodeIds=True, **columns
-        ),
+        FOREST: RegressionForest(RegressionSettings(trees, 15, 2, seed), "features", target),
         BOOSTED: GBTRegressor(maxIter=rounds, stepSize=0.05, maxDepth=4, seed=seed, **columns),
     }
 

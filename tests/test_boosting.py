@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from wattshelf.operators.boosting import BoostSettings, SoftmaxTrees, fit_softmax_trees, send_nodes
+from wattshelf.operators.boosting import BoostSettings, SoftmaxTrees, contenders, fit_softmax_trees, send_nodes
 
 
 def plain_booster(x, y, classes, rounds, depth, step=0.3, l2=1.0, least=1.0):
@@ -103,3 +103,43 @@ def test_parts_of_features_give_the_trees_of_one_part(spark, toy):
     many = fit_softmax_trees(data, BoostSettings(rounds=6, depth=4, rows_per_block=7, cells_per_part=20, least_cells=10, fold_rounds=2))
     assert np.array_equal(one.feature, many.feature) and np.array_equal(one.cut, many.cut)
     assert np.allclose(one.value, many.value, atol=1e-12)
+
+
+def test_whole_trees_of_classes_equal_levels_of_parts(spark, toy):
+    """A round is one job where a task can hold all cells; the trees are those that a job per level finds."""
+    x, y = toy
+    data = frame(spark, x, y, 3).cache()
+    runs = []
+    counted = spark.sparkContext.statusTracker
+    for number, changes in enumerate(({}, {"whole_parts": 0})):
+        spark.sparkContext.setJobGroup(f"boost-{number}", "")
+        runs.append(fit_softmax_trees(data, BoostSettings(rounds=5, depth=4, rows_per_block=11, **changes)))
+        runs.append(len(counted().getJobIdsForGroup(f"boost-{number}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    whole, jobs, parts, more_jobs = runs
+    assert np.array_equal(whole.feature, parts.feature) and np.array_equal(whole.cut, parts.cut)
+    assert np.allclose(whole.value, parts.value, atol=1e-12)
+    assert jobs <= more_jobs - 5
+    data.unpersist()
+
+
+def test_left_out_features_never_hold_the_best_split():
+    """The bound on a feature's gain against every cut of random sums."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, columns = 40, 12
+        g, h = rng.normal(size=n), rng.random(n)
+        settings = BoostSettings(min_child_weight=1.0)
+        totals = np.array([[g.sum(), h.sum()]])
+        gains, sums = np.zeros(columns), np.zeros((columns, 3))
+        for c in range(columns):
+            rows = rng.permutation(n)[: rng.integers(1, n)]
+            sums[c] = g[rows].sum(), np.abs(g[rows]).sum(), h[rows].sum()
+            for cut in range(len(rows)):
+                right_g, right_h = g[rows[cut:]].sum(), h[rows[cut:]].sum()
+                left_g, left_h = totals[0] - (right_g, right_h)
+                if min(left_h, right_h) >= 1.0:
+                    gain = right_g**2 / (right_h + 1) + left_g**2 / (left_h + 1) - totals[0, 0] ** 2 / (totals[0, 1] + 1)
+                    gains[c] = max(gains[c], gain)
+        kept = contenders(np.zeros(columns, int), *sums.T, totals, settings)
+        assert kept[gains.argmax()] or gains.max() <= 1e-6
